@@ -71,3 +71,19 @@ def running_base(parts: DataFrame, key: str, amount: str, name: str = "base") ->
 
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn(name, F.coalesce(F.sum(amount).over(before), F.lit(0)).cast("long"))
+
+
+#: A group is hot if it has over this part of all rows.
+HOT = 1 / 1000
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row for each ``key`` in ``groups``, without a task that holds a hot group.
+
+    Of groups with over ``HOT`` of ``total`` rows there are fewer than ``1 / HOT``, so these
+    are broadcast; the others are joined as the planner likes.
+    """
+    many = F.col(size) > max(1, int(total * HOT))
+    hot = groups.where(many)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~many), key)
+    return rows.join(F.broadcast(hot), key).select(others.columns).unionByName(others)

@@ -21,14 +21,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, save
+from .common import ascii_lower, attach_groups, save
 
 #: Bits of the filter for each row; words that are broadcast at most (about 40 bytes each).
 BITS, BROADCAST_WORDS = 16, 1_000_000
 
-#: A group is hot if it has over this part of all rows.
-HOT = 1 / 1000
-
 
 def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id (of the row that stays: the largest), group_size, kept, text_sha256."""
@@ -54,12 +51,8 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
     maybe = probed.where("maybe").drop("maybe")
     groups = save(maybe.groupBy("sum").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    many = F.col("group_size") > max(1, int(rows * HOT))
-    hot = F.broadcast(groups.where(many))  # fewer than 1 / HOT rows
-    columns = ["doc_id", "keep_id", "group_size", "sum"]
-    in_hot = maybe.join(hot, "sum").select(columns)
-    others = maybe.join(F.broadcast(groups.where(many).select("sum")), "sum", "left_anti").join(groups.where(~many), "sum").select(columns)
-    return alone.unionByName(in_hot).unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sum")).alias("text_sha256"))
+    found = attach_groups(maybe, groups, "sum", "group_size", rows)
+    return alone.unionByName(found.select(alone.columns)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sum")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
