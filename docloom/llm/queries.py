@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, maxscore, packing, quality, token_store, warc
+from . import bpe, exact_dedup, jaccard, maxscore, packing, quality, token_store, warc
 from .common import workspace
 from .tokens import WORD_BPE
 
@@ -52,6 +53,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"), shingle=4, at_least=Fraction(85, 100))
+
+
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
+    "op7_jaccard": op7_jaccard,
     "op9_maxscore": op9_maxscore,
     "op10_bpe": op10_bpe,
 }
