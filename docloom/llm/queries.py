@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard, maxscore, packing, quality, token_store, warc
+from . import bpe, exact_dedup, jaccard, maxscore, packing, quality, substring, token_store, warc
 from .common import workspace
 from .tokens import WORD_BPE
 
@@ -38,6 +38,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~quality.held_out("doc_id")), "quality")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_substring": op4_substring,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_jaccard": op7_jaccard,

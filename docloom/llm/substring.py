@@ -32,6 +32,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .common import attach_groups, forget, save
@@ -111,6 +112,7 @@ def _locate(window: int):
     length = window // 2
 
     def run(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.reset_index(drop=True)
         split = [x.split() for x in docs.text]
         row = {d: i for i, d in enumerate(docs.doc_id)}
         patterns = [b" ".join(split[row[d]][a : a + length]) for d, a in zip(wanted.doc_id, wanted["at"], strict=True)]
@@ -157,7 +159,7 @@ def removals(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: st
     n_holders, held_bytes = holders.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, (held_bytes or 0) // BLOCK_BYTES))).cast("int").alias("block")
     wanted = held.select(block, "doc_id", "key", "at").groupBy("block", "key").agg(F.min(F.struct("doc_id", "at")).alias("p")).select("block", "p.doc_id", "p.at")
-    texts = _texts(docs, doc_id, text).join(_small(holders.select("doc_id"), n_holders), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if False else _texts(docs, doc_id, text).join(_small(holders.select("doc_id"), n_holders), "doc_id", "left_semi")
+    texts = _texts(docs, doc_id, text).join(_small(holders.select("doc_id"), n_holders), "doc_id", "left_semi")
     located = texts.select(block, "doc_id", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_locate(window), "doc_id long, at array<int>, h1 array<long>, h2 array<long>")
     windows = save(located, "windows")
     forget(described, held, holders)
