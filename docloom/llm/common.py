@@ -87,3 +87,15 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot = groups.where(many)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~many), key)
     return rows.join(F.broadcast(hot), key).select(others.columns).unionByName(others)
+
+
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; broadcast up to ``BROADCAST_IDS`` ids, shuffled beyond."""
+    gone = save(ids.toDF("_gone"), "ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").select(docs.columns)

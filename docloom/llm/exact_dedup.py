@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, attach_groups, save
+from .common import ascii_lower, attach_groups, save, without_ids
 
 #: Bits of the filter for each row; words that are broadcast at most (about 40 bytes each).
 BITS, BROADCAST_WORDS = 16, 1_000_000
@@ -56,6 +56,5 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one id for each text, the largest; all columns as they are."""
-    gone = copies(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    """``docs`` with one id for each text, the largest; all columns, and rows with a null id, as they are."""
+    return without_ids(docs, copies(docs, text, doc_id).where("NOT kept").select("doc_id"), doc_id)

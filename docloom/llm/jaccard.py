@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach_groups, forget, save
+from .common import attach_groups, forget, save, without_ids
 from .components import components
 from .words import mix, run_hashes, spans, word_hashes
 
@@ -218,3 +218,9 @@ def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4,
     found = components(stars.unionByName(others).unionByName(again.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))))
     named_rows = all_rows.select("doc_id", F.col("n").alias("n_shingles"))
     return named_rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of similar ones, that with the least id; all columns, and rows with a null id, as they are."""
+    found = similar(docs, shingle, at_least, doc_id, text)
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"), doc_id)

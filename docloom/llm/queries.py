@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, jaccard, maxscore, packing, quality, substring, token_store, warc
+from . import bpe, exact_dedup, jaccard, linededup, maxscore, packing, quality, substring, token_store, warc
 from .common import workspace
 from .tokens import WORD_BPE
 
@@ -61,6 +61,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"), shingle=4, at_least=Fraction(85, 100))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"), min_lines=3)
+
+
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_jaccard": op7_jaccard,
+    "op8_linededup": op8_linededup,
     "op9_maxscore": op9_maxscore,
     "op10_bpe": op10_bpe,
 }
@@ -87,6 +92,35 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm""",
+    "op4_substring": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS p, w FROM t WHERE len(w) >= 20),
+             h AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 19], ' ')) AS k FROM g),
+             r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM h) WHERE n > 1),
+             gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS p FROM r),
+             gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i::BIGINT), false)), ' '), '')) AS kept_sha256
+        FROM t LEFT JOIN gl USING (doc_id)""",
+    "op7_jaccard": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                          ELSE list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM t),
+             e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+             i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM i WHERE 100 * c >= 85 * (na + nb - c)),
+             d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT d.b, reach.r FROM reach JOIN d ON d.a = reach.v)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r) AS component_id FROM s JOIN reach ON reach.v = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op8_linededup": r"""
+        WITH t AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')) AS w FROM documents),
+             g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS p, w FROM t WHERE len(w) >= 3),
+             r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w[p:p + 2] ORDER BY doc_id, p) AS n FROM g) WHERE n > 1),
+             gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 2)) AS p FROM r),
+             gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i::BIGINT), false)), chr(10)), '')) AS kept_sha256
+        FROM t LEFT JOIN gl USING (doc_id)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
              first AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
