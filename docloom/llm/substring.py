@@ -194,7 +194,7 @@ def _cut(raw: bytes | None, whole: bool | None, starts, ends) -> tuple[int, int,
     stays = np.ones(len(begin), bool)
     if whole:
         stays[:] = False
-    for a, b in zip(starts or (), ends or (), strict=True):
+    for a, b in zip(() if starts is None else starts, () if ends is None else ends, strict=True):
         stays[a:b] = False
     return len(begin), int((~stays).sum()), begin, end, stays
 
