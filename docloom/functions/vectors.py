@@ -33,38 +33,3 @@ def minhash_similarity(a: Column, b: Column) -> Column:
     """Share of equal places; two signatures of empty texts are equal."""
     n = F.least(F.size(a), F.size(b))
     return F.when(n == 0, 0.0).otherwise(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)).cast("double") / n)
-
-
-def hash60(c: Column) -> Column:
-    """The first 60 bits of a string's MD5, as a long."""
-    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
-
-
-#: Modulus of the min-hash permutations, and their number.
-PRIME, PERMUTATIONS = (1 << 61) - 1, 16
-
-
-def permutations(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
-    """Multipliers and offsets from a linear congruential sequence."""
-    x, out = 20240601, []
-    for _ in range(2 * n):
-        x = (6364136223846793005 * x + 1442695040888963407) % (1 << 64)
-        out.append(x >> 33)
-    return [*zip(out[::2], out[1::2], strict=True)]
-
-
-def minhash(shingles: Column, n: int = PERMUTATIONS) -> Column:
-    """Signature of a set of strings; zeros for an empty one."""
-    hashes = F.transform(shingles, lambda s: hash60(s).cast("decimal(20,0)"))
-    least = lambda a, b: F.array_min(F.transform(hashes, lambda h: ((h * F.lit(a).cast("decimal(11,0)") + F.lit(b).cast("decimal(11,0)")) % F.lit(PRIME).cast("decimal(20,0)")).cast("long")))
-    return F.when(F.size(shingles) == 0, F.array_repeat(F.lit(0).cast("long"), n)).otherwise(F.array(*[least(a, b) for a, b in permutations(n)]))
-
-
-def simhash(shingles: Column, bits: int = 32) -> Column:
-    """Bits whose signed sum over the elements' hashes is positive, as a long; 0 for an empty set."""
-    hashes = F.transform(shingles, hash60)
-    total = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    out = F.lit(0).cast("long")
-    for i in range(bits):
-        out = out + F.when(total(i) > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return out
