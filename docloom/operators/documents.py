@@ -31,7 +31,7 @@ def similar_contents(docs: DataFrame, at_least: float = 0.85, k: int = 5, doc_id
     Documents with equal sets are one class, by its least id.  Two similar sets have an element in common among the least
     ``n - ceil(t * n) + 1`` of their hashes, on which candidates are joined before the exact check.
     """
-    sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.transform(T.shingles(text, k), F.xxhash64)).alias("s")).where(F.size("s") > 0)
+    sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.transform(T.shingles(text, k), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
     sets = sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n"))
     prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * at_least).cast("int") + 1)
     keyed = sets.select("id", "n", F.explode(prefix).alias("key"))

@@ -1,6 +1,6 @@
 """The registered queries of the engine's own operators, and their SQL."""
 
-from . import documents, search, texts  # noqa: F401
+from . import documents, graphs, registers, search, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
