@@ -41,7 +41,7 @@ from .components import components
 from .words import mix, run_hashes, spans, word_hashes
 
 #: Documents in the sample for common elements, and the part of them that makes an element common.
-COMMON_DOCS, COMMON = 2_000, 0.005
+COMMON_DOCS, COMMON = 8_000, 0.001
 
 #: Ids that are broadcast at most when texts are picked by id.
 BROADCAST_IDS = 1_000_000
@@ -134,8 +134,8 @@ def common_elements(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], ["e"])
 
-    found = sample.mapInArrow(sets, "e array<long>").select(F.explode("e").alias("e")).groupBy("e").count().where(F.col("count") >= max(8, int(COMMON * COMMON_DOCS))).collect()
-    return np.sort(np.asarray([r.e for r in found], np.int64).view(np.uint64))
+    found = sample.mapInArrow(sets, "e array<long>").select(F.explode("e").alias("e")).groupBy("e").count().where(F.col("count") >= max(8, int(COMMON * COMMON_DOCS))).select("e").toArrow()
+    return np.sort(found["e"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _sketches(docs: DataFrame, common: np.ndarray, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
@@ -209,10 +209,17 @@ def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4,
     placed = save(shared.join(named("id"), "id", "left").select("key", "id", of("id").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1")
     mixed = mixed.join(named("hub"), "hub", "left").select("key", "hub", of("hub").alias("hub_c"))
-    held = save(placed.join(mixed, "key"), "mixed")
-    members = held.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), (F.col("c") != F.col("hub_c")).alias("y_out")).where("y <> hub")
-    outside = held.where("c <> hub_c").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    crossed = outside.join(members, "key").where("cx <> cy AND x <> y AND (NOT y_out OR x < y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    bits = [F.get("folded", F.lit(i)).alias(f"f{i}") for i in range(FOLDED)]
+    held = save(placed.join(mixed, "key").join(sizes.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), *bits), "id"), "mixed")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "c", "size", *(f"f{i}" for i in range(FOLDED)))]
+    members = held.where("id <> hub").select("key", (F.col("c") != F.col("hub_c")).alias("y_out"), *side("y"))
+    outside = held.where("c <> hub_c").select("key", *side("x"))
+    # All conditions are the join's own, so that only pairs that may be similar become rows.
+    apart = sum((F.bit_count(F.col(f"x_f{i}").bitwiseXOR(F.col(f"y_f{i}"))) for i in range(FOLDED)), F.lit(0))
+    p, q = at_least.numerator, at_least.denominator
+    sized = (F.least("x_size", "y_size") * q >= F.greatest("x_size", "y_size") * p) & (apart * (p + q) <= (F.col("x_size") + F.col("y_size")) * (q - p))
+    other = (F.col("x_c") != F.col("y_c")) & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
+    crossed = outside.join(members.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & other & sized).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
     others = _verified(crossed, docs, sizes, shingle, at_least, doc_id, text)
 
     found = components(stars.unionByName(others).unionByName(again.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))))
