@@ -21,8 +21,9 @@ row; other columns are left out.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Labelled documents to fit on at most.
-SAMPLE = 2_500
+SAMPLE = 2_000
 
 #: Buckets of the table, dimensions, character n-grams, epochs, documents a step, learning rate, seed.
 BUCKETS, DIMS, GRAMS, EPOCHS, BATCH, RATE, SEED = 1 << 18, 8, (1, 2, 3, 4), 5, 32, 0.05, 11
@@ -75,7 +76,7 @@ class Model:
     bias: float
 
 
-def train(texts: list[Counter], labels: list[int]) -> Model:
+def train(texts: Iterable[dict[bytes, int]], labels: list[int]) -> Model:
     """Fit on documents given as counts of words."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
@@ -86,14 +87,17 @@ def train(texts: list[Counter], labels: list[int]) -> Model:
     layer = (rng.standard_normal((DIMS, 2)) / np.sqrt(DIMS)).astype(np.float32)
     bias = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
     vocabulary: dict[bytes, int] = {}
-    grams: list[np.ndarray] = []
+    flat, ends = array("i"), array("q", [0])  # the buckets of all words in one stretch, and where each word's end
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for counts in texts:
         for w in counts:
             if w not in vocabulary:
-                vocabulary[w] = len(grams)
-                grams.append(np.asarray([zlib.crc32(SAME) & (BUCKETS - 1)] if w == SAME else features(w), np.int64))
-        rows.append((np.asarray([vocabulary[w] for w in counts], np.int64), np.asarray([*counts.values()], np.float32)))
+                vocabulary[w] = len(ends) - 1
+                flat.extend([zlib.crc32(SAME) & (BUCKETS - 1)] if w == SAME else features(w))
+                ends.append(len(flat))
+        rows.append((np.asarray([vocabulary[w] for w in counts], np.int32), np.asarray([*counts.values()], np.float32)))
+    vocabulary.clear()
+    buckets, ends = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.asarray(ends)
     usable = np.asarray([i for i, r in enumerate(rows) if len(r[0])])
     n_steps, step = EPOCHS * (len(usable) // BATCH + 1), 0
     for _ in range(EPOCHS):
@@ -105,9 +109,10 @@ def train(texts: list[Counter], labels: list[int]) -> Model:
             sizes = [len(rows[d][0]) for d in docs]
             words, place = np.unique(np.concatenate([rows[d][0] for d in docs]), return_inverse=True)
             weight = np.concatenate([rows[d][1] / rows[d][1].sum() for d in docs])
-            gram_sizes = np.asarray([len(grams[w]) for w in words])
-            ids = np.concatenate([grams[w] for w in words])
-            vectors = np.add.reduceat(table[ids], np.concatenate([[0], np.cumsum(gram_sizes)[:-1]]), axis=0) / gram_sizes[:, None]
+            gram_sizes = ends[words + 1] - ends[words]
+            first = np.cumsum(gram_sizes) - gram_sizes
+            ids = buckets[np.repeat(ends[words] - first, gram_sizes) + np.arange(gram_sizes.sum())]
+            vectors = np.add.reduceat(table[ids], first, axis=0) / gram_sizes[:, None]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             hidden = np.add.reduceat(vectors[place] * weight[:, None], starts, axis=0)
             z = hidden @ layer + bias
@@ -139,9 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label))
-    return train([Counter(dict(zip(map(bytes, r.words), r.counts, strict=True))) for r in rows], [r.label for r in rows])
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    counted = (dict(zip(w.as_py(), c.as_py(), strict=True)) for w, c in zip(rows["words"], rows["counts"], strict=True))
+    return train(counted, rows["label"].to_pylist())
 
 
 _WORDS: dict[int, dict[bytes, float]] = {}
