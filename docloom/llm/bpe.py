@@ -21,11 +21,10 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pieces kept by a worker, the longest piece kept (bytes), and the longest word merged by scanning.
@@ -60,7 +59,8 @@ class Bpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         split = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = regex.compile(split)
+        self.path = path
+        self.byte_of = {c: b for b, c in enumerate(letters)}
         self.cut_ascii = re.compile(split.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.at_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.seen: dict[bytes, tuple[int, str, str]] = {}
@@ -119,11 +119,18 @@ class Bpe:
     def plain(self, text: str) -> list[int]:
         if text.isascii():
             words = [w.encode() for w in self.cut_ascii.findall(text.lower())]
-        else:
-            low = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-            words = [w.encode() for w in self.cut.findall(low)]
+        else:  # beyond ASCII, normal forms, letter case and classes are those of the library's own Unicode tables
+            cut = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
+            words = [bytes([self.byte_of[c] for c in w]) for w, _ in cut]
         return [i for w in words for i in self.word(w)]
 
+    @cached_property
+    def rules(self):
+        """The library's normaliser and cutter of the same file; the merges are this module's."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, raw: bytes) -> tuple[int, str, str]:
         """Number of ids, the decimal ids and the token names of a piece, each joined by a blank; kept for later."""
         found = self.seen.get(raw)
