@@ -235,16 +235,18 @@ def without_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, whole, starts, ends in batches:
             out = []
-            for raw, w, a, b in zip(texts, whole, starts, ends, strict=True):
-                raw = raw.encode() if raw is not None else b""
-                _, _, begin, end, stays = _cut(raw, w, a, b)
+            for text, w, a, b in zip(texts, whole, starts, ends, strict=True):
+                raw = (text or "").encode()
+                _, gone, begin, _, stays = (0, 0, None, None, None) if w is None else _cut(raw, w, a, b)
+                if not gone:
+                    out.append(text)
+                    continue
                 after = np.append(begin[1:], len(raw))  # a word goes with the blanks behind it
                 out.append(b"".join([raw[x:y] for x, y, s in zip(begin.tolist(), after.tolist(), stays.tolist(), strict=True) if s]).decode().rstrip())
-            yield pd.Series(out)
+            yield pd.Series(out, dtype=object)
 
     found = removals(docs, window, doc_id, text).select(F.col("doc_id").alias("_of"), F.col("whole").alias("_whole"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
     rows = found.agg(F.count(F.lit(1)) + F.sum(F.size("_starts"))).first()[0] or 0
     on = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID)) == F.col("_of")
     joined = docs.join(_small(found, rows), on, "left")
-    new = F.when(F.col("_of").isNull(), F.col(text)).otherwise(cut(text, F.coalesce("_whole", F.lit(False)), "_starts", "_ends"))
-    return joined.withColumn(text, new).select(docs.columns)
+    return joined.withColumn(text, cut(text, "_whole", "_starts", "_ends")).select(docs.columns)

@@ -213,7 +213,7 @@ class WarcReader(DataSourceReader):
             rows: list[tuple] = []
             size = 0
             with fs.open_input_file(path) as f:
-                for head, http, body in records(_Zipped(f) if path.endswith(".gz") else _Plain(f), self.wanted, self.payload, self.verify):
+                for head, http, body in records(_Zipped(f) if path.endswith(".gz") else _Plain(io.BufferedReader(f, BLOCK)), self.wanted, self.payload, self.verify):
                     length = http.get("content-length") or head.get("x-payload-length")
                     rows.append((*(head.get(h) for h in HEADERS.values()), int(length) if length else len(body or b""), http.get("content-type"), body))
                     size += len(body or b"")
