@@ -128,13 +128,15 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def common_elements(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Elements of at least ``COMMON`` of the documents in a sample of ``COMMON_DOCS`` by hash of their id, sorted."""
-    sample = _texts(docs, doc_id, text).orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_DOCS)
+    rows = _texts(docs, doc_id, text)
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_DOCS)  # ids alone: no text is sent on
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], ["e"])
 
-    found = sample.mapInArrow(sets, "e array<long>").select(F.explode("e").alias("e")).groupBy("e").count().where(F.col("count") >= max(8, int(COMMON * COMMON_DOCS))).select("e").toArrow()
+    found = sample.mapInArrow(sets, "e array<long>").limit(COMMON_DOCS).select(F.explode("e").alias("e")).groupBy("e").count().where(F.col("count") >= max(8, int(COMMON * COMMON_DOCS))).select("e").toArrow()
     return np.sort(found["e"].to_numpy().astype(np.int64).view(np.uint64))
 
 

@@ -76,7 +76,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, d
 
     It only affects the size of the frames; every document is compressed whole.
     """
-    sample = docs.select(F.xxhash64(doc_id).alias("order"), F.col(text).cast("binary").alias("text")).orderBy("order").limit(DICTIONARY_DOCS)
+    chosen = docs.select(F.col(doc_id).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(DICTIONARY_DOCS)  # ids alone: no text is sent on
+    sample = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"), "left_semi").select(F.col(text).cast("binary").alias("text"))
     end = struct.pack("<I", end_id)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, d
         for b in batches:
             yield pa.RecordBatch.from_pydict({"ids": pa.array([_pack(encode(x) + end, width) for x in b["text"].to_pylist()], pa.binary())})
 
-    samples = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect()]
+    samples = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").limit(DICTIONARY_DOCS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too short
