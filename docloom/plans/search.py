@@ -96,7 +96,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNKS = "chunks AS (SELECT doc_id AS id, source AS file, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_index, contains(text, ' | ') OR contains(text, '###') AS is_table, left(text, 40) AS text FROM documents)"
-RUNS = "runs AS (SELECT *, CASE WHEN is_table THEN chunk_index - row_number() OVER (PARTITION BY file, is_table ORDER BY chunk_index) END AS run FROM chunks)"
+RUNS = "runs AS (SELECT *, CASE WHEN is_table THEN (chunk_index - row_number() OVER (PARTITION BY file, is_table ORDER BY chunk_index))::INT END AS run FROM chunks)"
 
 
 def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
