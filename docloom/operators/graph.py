@@ -63,3 +63,11 @@ def merge_edges(old: DataFrame, seen: DataFrame) -> DataFrame:
 def projects_with(edges: DataFrame, fragment: str) -> DataFrame:
     """project, entity of edges (u, v) whose entity's label holds the fragment, letter case aside."""
     return edges.where(F.contains(F.lower("v"), F.lit(fragment.lower()))).select(F.col("u").alias("project"), F.col("v").alias("entity")).distinct()
+
+
+def edges_present(edges: DataFrame, present: DataFrame) -> DataFrame:
+    """src, dst of edges and whether each end is a present section."""
+    codes = F.broadcast(present.select("code").distinct())  # a project's sections
+    has = lambda side: codes.select(F.col("code").alias(side), F.lit(True).alias(f"_{side}"))
+    out = edges.join(has("src"), "src", "left").join(has("dst"), "dst", "left")
+    return out.select("src", "dst", F.coalesce("_src", F.lit(False)).alias("src_present"), F.coalesce("_dst", F.lit(False)).alias("dst_present"))
