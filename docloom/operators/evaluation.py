@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from .search import small
 
 
 def verbatim(queries: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
@@ -19,10 +20,10 @@ def verbatim(queries: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     keyed = asked.where(F.size("w") >= words + 2).select("query_id", "q", F.xxhash64(run(F.col("w"), F.lit(2))).alias("key"))
     split = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.split("text", r"\s+").alias("w"))
     runs = F.when(F.size("w") > words, F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.xxhash64(run(F.col("w"), i)))))
-    found = split.select("id", F.explode(runs).alias("key")).join(F.broadcast(keyed), "key").select("query_id", "id", "q").distinct()
+    found = split.select("id", F.explode(runs).alias("key")).join(small(keyed), "key").select("query_id", "id", "q").distinct()
     long = found.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "id").where(F.contains("t", "q")).select("query_id", "id")
     short = asked.where(F.size("w") < words + 2).select("query_id", "q")
-    return long.unionByName(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(short), F.contains("t", "q")).select("query_id", "id"))
+    return long.unionByName(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(small(short), F.contains("t", "q")).select("query_id", "id"))
 
 
 def metrics(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:

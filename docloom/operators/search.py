@@ -26,10 +26,18 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
-    """id, term, tf, dl of each term of each document."""
+def postings(docs: DataFrame, terms: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
+    """id, dl, term, tf of each term of each document; of ``terms`` only if given, which are picked before anything is shuffled."""
     d = docs.select(F.col(doc_id).alias("id"), tokens(text).alias("t"))
-    return d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def frequencies(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
+    """term, df: in how many documents each term occurs, counted where the documents are before one row a term is shuffled."""
+    return docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
 
 
 def corpus(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
@@ -37,9 +45,8 @@ def corpus(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column]
     return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, totals: DataFrame) -> DataFrame:
-    """term, df, idf; negative idf becomes ``EPSILON`` times the average of all raw ones."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+def term_stats(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """term, df, idf of terms with their frequencies; negative idf becomes ``EPSILON`` times the average of all raw ones."""
     raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # totals: one row
     mean = raw.agg(F.round(F.avg("raw"), 9).alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
@@ -50,15 +57,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
 
     ``where`` filters documents as candidates; the statistics stay those of all documents.
     """
-    posted = postings(docs, doc_id, text)
     totals = corpus(docs, text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = small(asked.select("term").distinct())
-    stats = term_stats(posted, totals).join(terms, "term", "left_semi")
-    found = posted if where is None else posted.join(docs.where(where).select(F.col(doc_id).alias("id")), "id", "left_semi")
-    found = found.join(terms, "term", "left_semi").join(small(stats, 0), "term").crossJoin(F.broadcast(totals))
+    terms = asked.select("term").distinct()
+    n_asked = asked.count()  # at least as many as there are terms
+    terms = small(terms, n_asked)
+    stats = small(term_stats(frequencies(docs, text), totals).join(terms, "term", "left_semi"), n_asked)
+    found = postings(docs if where is None else docs.where(where), terms, doc_id, text).join(stats, "term").crossJoin(F.broadcast(totals))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.withColumn("gain", gain).join(small(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("gain")), 6).alias("score"))
+    scored = found.withColumn("gain", gain).join(small(asked, n_asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("gain")), 6).alias("score"))
     return ranked(scored.where("score > 0"), k)
 
 

@@ -41,7 +41,7 @@ def bm25_section_filtered(spark: SparkSession, sf: str) -> DataFrame:
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     totals = R.corpus(docs)
-    s = R.term_stats(R.postings(docs), totals).agg(F.count(F.lit(1)).alias("vocabulary"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.max("df").alias("max_df"))
+    s = R.term_stats(R.frequencies(docs), totals).agg(F.count(F.lit(1)).alias("vocabulary"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.max("df").alias("max_df"))
     return totals.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(s)
 
 
