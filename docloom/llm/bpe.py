@@ -27,6 +27,8 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import worker_cache
+
 #: Pieces kept by a worker, the longest piece kept (bytes), and the longest word merged by scanning.
 MAX_PIECES, MAX_PIECE, SHORT = 800_000, 64, 64
 
@@ -154,13 +156,8 @@ class Bpe:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return worker_cache(("bpe", path), lambda: Bpe(path))
 
 
 def pieces(text: bytes | None) -> list[bytes]:

@@ -45,15 +45,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete intermediate tables made by :func:`save` that nothing reads any more,
     and let Spark drop the shuffle files of finished jobs."""
-    import gc
-
     for t in tables:
         for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        tidy(tables[0].sparkSession)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -99,3 +96,39 @@ def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").select(docs.columns)
+
+
+#: Words of a Bloom filter that are broadcast at most (about 40 bytes each), and its bits for each key.
+BLOOM_WORDS, BLOOM_BITS = 1_000_000, 16
+
+
+def possibly_in(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """``rows`` whose ``key`` (a long) is in ``keys``, and few others, by a broadcast Bloom filter; all rows if the filter would be too large."""
+    words = 1 << max(4, (n_keys * BLOOM_BITS // 64).bit_length())
+    if words > BLOOM_WORDS:
+        return rows
+    h, one = F.xxhash64(key), F.lit(1).cast("long")
+    bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    word, mask = h.bitwiseAND(F.lit(words - 1)), bit(58).bitwiseOR(bit(52))
+    filled = keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    probed = rows.join(F.broadcast(filled), word == F.col("_word"))
+    return probed.where(F.col("_bits").bitwiseAND(mask) == mask).select(rows.columns)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are done."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_HELD: dict = {}
+
+
+def worker_cache(key, make):
+    """What ``make`` gives, kept by this Python worker until another operator asks for its own; a worker outlives an operator."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

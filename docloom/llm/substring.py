@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach_groups, forget, save
+from .common import attach_groups, forget, save, worker_cache
 from .words import mix, run_hashes, spans, word_hashes
 
 #: Text in a block, phrases in one automaton, rows or ranges that are broadcast at most.
@@ -62,6 +62,7 @@ def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _described(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substring", dict)  # other operators' tables go
         for whole in batches:
             for first in range(0, whole.num_rows, 2_000):
                 b = whole.slice(first, 2_000)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 from array import array
 
+from .common import worker_cache
+
 #: Pieces kept by a worker before its table is emptied, and the longest piece kept.
 MAX_WORDS, MAX_WORD_BYTES = 900_000, 64
 
@@ -45,14 +47,9 @@ class _Pieces(dict):
         return out
 
 
-_LOADED: dict[str, _Pieces] = {}
-
-
 def encoder(path: str):
     """A function from a text's UTF-8 bytes (None: empty) to its ids as uint32 bytes."""
-    pieces = _LOADED.get(path)
-    if pieces is None:
-        pieces = _LOADED[path] = _Pieces(path)
+    pieces = worker_cache(("tokens", path), lambda: _Pieces(path))
 
     def encode(text: bytes | None) -> bytes:
         if not text:
