@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct runs of ``shingle`` words.  Two sets of
 sizes a and b whose Jaccard similarity is at least t differ in at most
-(a + b)(1 - t)/(1 + t) elements.  Sizes are cut into bands; within a band (and from the
-band below, for partners across its edge) that is at most D elements, and every document's
+(a + b)(1 - t)/(1 + t) elements.  Sizes are cut into bands; within a band (and from those
+below, for partners across its edge) that is at most D elements, and every document's
 bit sketch has G > D segments of 2**20 bits: an element is XORed into one bit of one
 segment, so the Hamming distance of two sketches is at most the number of elements in which the
 sets differ, and at least G - D segments are equal (pigeonhole).  A segment's key is the XOR of
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach_groups, forget, save, without_ids
+from .common import attach_groups, forget, possibly_in, save, tidy, without_ids, worker_cache
 from .components import components
 from .words import mix, run_hashes, spans, word_hashes
 
@@ -79,9 +79,8 @@ class Bands:
         return d + 3 + d // 10
 
     def joins(self, n: int) -> list[int]:
-        """Bands in which a set of size n can have a partner that is at least as large as it, or is smaller."""
-        own = self.of(n)
-        return [own] + [own + 1] * (n >= self.t * self.least[own + 1])
+        """The own band of a set of size n, and those of partners that are larger."""
+        return [*range(self.of(n), self.of(int(n / self.t)) + 1)]
 
 
 def keys(own: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
@@ -144,7 +143,7 @@ def _sketches(docs: DataFrame, common: np.ndarray, shingle: int, t: Fraction, do
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, common = Bands(t), sent.value
+        bands, common = worker_cache(("jaccard", t), lambda: Bands(t)), sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
@@ -201,8 +200,12 @@ def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4,
     emitted = one.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     groups = save(emitted.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
     n_keys = one.agg(F.sum(F.size("keys"))).first()[0] or 0
-    shared = save(attach_groups(emitted, groups, "key", "members", n_keys).select("key", "id", "hub"), "shared-keys")
+    tidy(docs.sparkSession)
+    repeated = possibly_in(emitted, groups, "key", groups.count())
+    shared = save(attach_groups(repeated, groups, "key", "members", n_keys).select("key", "id", "hub"), "shared-keys")
     sizes = save(one.select("doc_id", "n", "folded"), "sizes")
+    all_rows, big = save(all_rows.select("doc_id", "n"), "set-sizes"), all_rows
+    forget(big, groups)
 
     stars = _verified(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, sizes, shingle, at_least, doc_id, text)
     near = components(stars)
