@@ -122,7 +122,8 @@ def snippet(c: Column | str, anchor: Column | str, width: int) -> Column:
 
 
 def page_number(c: Column | str) -> Column:
-    return F.expr("cast(null as int)") if c is None else F.regexp_extract(text(c), r"\d+", 0).try_cast("int")
+    """The first number in a place's name; null without one."""
+    return F.regexp_extract(text(c), r"\d+", 0).try_cast("int")
 
 
 # Kinds of normative documents.

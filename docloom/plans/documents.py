@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from .registry import Literal, query, table
-from .texts import FINGERPRINT, NAMES, SHINGLES, VERSIONS_SQL, W, versions
+from .texts import FINGERPRINT, SHINGLES, VERSIONS_SQL, W, versions
 
 _FP = f"f AS (SELECT doc_id, {FINGERPRINT} AS fingerprint FROM documents)"
 

@@ -87,9 +87,6 @@ def slugify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.slug("url").alias("slug"))
 
 
-_AT = "greatest(strpos(text, 'the') - 1, 0)"
-
-
 @query(f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT doc_id, t, greatest(0, greatest(strpos(t, 'tion') - 1, 0) - 100) AS s FROM a), c AS (SELECT *, least(length(t), s + 300) AS e FROM b)
  SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE concat(CASE WHEN s > 0 THEN '…' ELSE '' END, substr(t, s + 1, e - s), CASE WHEN e < length(t) THEN '…' ELSE '' END) END AS snippet FROM c""")
 def center_snippet(spark: SparkSession, sf: str) -> DataFrame:
