@@ -4,9 +4,9 @@ A word's vector is the mean of learned vectors in a hashed table: one for the wo
 and one for each character n-gram of it.  A document's vector is the mean of its
 words' vectors; a word that repeats the one before it adds the vector of the hashed
 mark ``SAME``.  A linear layer and a softmax give the probability of label 1.
-Training is numpy stochastic gradient descent on the driver over at most
-``SAMPLE`` labelled documents, whole texts, chosen by hash of their id; the
-executors send only their distinct words and counts.
+Training is numpy stochastic gradient descent in one task over at most
+``SAMPLE`` labelled documents, whole texts, chosen by hash of their id, of which
+that task gets the distinct words and their counts.
 
 As all after the table is linear, scoring needs one number for each bucket: a
 word's logit is a mean of those, kept by the worker, and a document's logit a mean
@@ -31,6 +31,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import worker_cache
+
 #: Labelled documents to fit on at most.
 SAMPLE = 2_000
 
@@ -38,7 +40,7 @@ SAMPLE = 2_000
 BUCKETS, DIMS, GRAMS, EPOCHS, BATCH, RATE, SEED = 1 << 18, 8, (1, 2, 3, 4), 5, 32, 0.05, 11
 
 #: Words whose logit a worker keeps; longest word kept.
-MAX_WORDS, MAX_WORD = 900_000, 64
+MAX_WORDS, MAX_WORD = 400_000, 64
 
 SAME = b"\x00same"
 
@@ -144,20 +146,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    counted = (dict(zip(w.as_py(), c.as_py(), strict=True)) for w, c in zip(rows["words"], rows["counts"], strict=True))
-    return train(counted, rows["label"].to_pylist())
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("train", dict)  # other operators' tables go
+        rows = pa.Table.from_batches([*batches], schema=_COUNTS).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        counted = (dict(zip(w.as_py(), c.as_py(), strict=True)) for w, c in zip(rows["words"], rows["counts"], strict=True))
+        model = train(counted, rows["label"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"logits": pa.array([model.logits.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    counts = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>")
+    fitted = counts.limit(2 * sample).repartition(1).mapInArrow(learn, "logits binary, bias double").collect()  # one row
+    if not fitted:
+        return train([], [])
+    return Model(np.frombuffer(bytes(fitted[0].logits), np.float32), fitted[0].bias)
 
 
-_WORDS: dict[int, dict[bytes, float]] = {}
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
 
 
 def _word_logits(model: Model) -> tuple[dict, list[float]]:
-    key = zlib.crc32(model.logits.tobytes())
-    if key not in _WORDS:
-        _WORDS.clear()
-        _WORDS[key] = {}
-    return _WORDS[key], model.logits.tolist()
+    """Words' logits known so far, and the buckets' as a list."""
+    return worker_cache(("quality", zlib.crc32(model.logits.tobytes())), lambda: ({}, model.logits.tolist()))
 
 
 def scorer(spark, model: Model):
