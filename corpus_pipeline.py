@@ -18,6 +18,9 @@ from docloom.llm.queries import END_ID, tokenizer_path
 #: Least score that a document stays with; similarity of near duplicates by five-word shingles; words in a repeated passage; tokens in a sequence.
 QUALITY, SIMILAR, WINDOW, CAPACITY = 0.3, Fraction(4, 5), 20, 4096
 
+#: Pieces whose ids a Python worker remembers when packing, beside what earlier stages have left in memory.
+KEEP = 200_000
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels outside its held-out fifth."""
@@ -44,7 +47,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
-    return packing.pack(docs, tokenizer_path(), END_ID, CAPACITY)
+    return packing.pack(docs, tokenizer_path(), END_ID, CAPACITY, keep=KEEP)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import partitions, running_base, save
-from .tokens import encoder
+from .tokens import MAX_WORDS, encoder
 
 #: Hashed buckets of a document's vector, dimensions of the curve, bits for each, seed of the projection.
 BUCKETS, DIMS, BITS, SEED = 1024, 4, 15, 7
@@ -73,12 +73,12 @@ def _points(counts: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.minimum(((squeezed + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", keep: int = MAX_WORDS) -> DataFrame:
     """row (unique), doc_id, key, n_tokens and the ids (zstd of uint32 bytes, end id included)."""
     end = struct.pack("<I", end_id)
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, matrix, zstd = encoder(tokenizer), _projection(), zstandard.ZstdCompressor(level=1)
+        encode, matrix, zstd = encoder(tokenizer, keep), _projection(), zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
@@ -114,9 +114,12 @@ def stream_places(lengths: DataFrame) -> DataFrame:
     return local.join(F.broadcast(sums.select("part", "base")), "part").select("row", (F.col("base") + F.col("start")).alias("at"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as uint32 bytes)."""
-    tokens = save(encoded(docs, tokenizer, end_id, doc_id, text), "encoded")
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, keep: int = MAX_WORDS) -> DataFrame:
+    """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as uint32 bytes).
+
+    ``keep`` bounds the pieces whose ids a Python worker remembers; it changes memory and time, not results.
+    """
+    tokens = save(encoded(docs, tokenizer, end_id, doc_id, text, keep), "encoded")
     places = stream_places(tokens.select("row", "doc_id", "key", "n_tokens"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,8 +22,9 @@ WORD_BPE = "word_bpe_49k.json"
 class _Pieces(dict):
     """Piece (UTF-8, ASCII letters lower-cased) -> its ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         super().__init__()
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,15 +42,15 @@ class _Pieces(dict):
         else:
             out = self.ids(piece)
         if len(piece) <= MAX_WORD_BYTES:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = out
         return out
 
 
-def encoder(path: str):
-    """A function from a text's UTF-8 bytes (None: empty) to its ids as uint32 bytes."""
-    pieces = worker_cache(("tokens", path), lambda: _Pieces(path))
+def encoder(path: str, keep: int = MAX_WORDS):
+    """A function from a text's UTF-8 bytes (None: empty) to its ids as uint32 bytes; a worker keeps ``keep`` pieces at most."""
+    pieces = worker_cache(("tokens", path, keep), lambda: _Pieces(path, keep))
 
     def encode(text: bytes | None) -> bytes:
         if not text:
