@@ -8,9 +8,9 @@ The suffixes of all line sequences are ranked by their first line, then by two,
 so on: the pair of ranks at a place and behind it is ranked anew, in a range-sorted
 table of the distinct pairs.  The last step lets two pieces overlap, so that any length
 is reached.  A suffix whose prefix occurs once is unique from there on and leaves the
-array, which holds repeated suffixes only.  Ranks by ``min_lines`` lines are all that removal needs:
-suffixes of equal rank are one interval of longest common prefix ``min_lines`` or more; the first
-stays, and :func:`runs` joins the neighbouring places of the others to maximal runs.
+array, which holds repeated suffixes only.  Suffixes of equal rank by ``min_lines`` lines are one
+interval of longest common prefix ``min_lines`` or more; the first stays, the neighbouring
+places of the others are joined to maximal runs, and the lines of these runs go.
 
 Documents whose lines all equal those of an earlier one lose every line at once and don't
 enter the array.  Ranks of frequent prefixes are broadcast (there are few), so that no
@@ -74,15 +74,19 @@ def later_runs(docs: DataFrame, min_lines: int = 3, doc_id: str = "doc_id", text
     return suffixes.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))), copies
 
 
-def runs(docs: DataFrame, min_lines: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal later copies of line runs: doc_id, at, n_lines, and where the same lines begin first (first_doc_id, first_at); without documents that are copies as a whole."""
-    later, _ = later_runs(docs, min_lines, doc_id, text)
+def joined(later: DataFrame, min_lines: int) -> DataFrame:
+    """Maximal runs (as of :func:`runs`) of neighbouring places of :func:`later_runs` whose lines begin first side by side, too."""
     later = later.select("doc_id", "at", F.col("first.doc_id").alias("first_doc_id"), (F.col("at") - F.col("first.at")).alias("shift"))
     along = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("at")
     islands = later.withColumn("island", F.col("at") - F.row_number().over(along))
     return islands.groupBy("doc_id", "first_doc_id", "shift", "island").agg(F.min("at").alias("at"), (F.count(F.lit(1)) + min_lines - 1).alias("n_lines")).select("doc_id", "at", "n_lines", "first_doc_id", (F.col("at") - F.col("shift")).alias("first_at"))
 
 
+def runs(docs: DataFrame, min_lines: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Maximal later copies of line runs: doc_id, at, n_lines, and where the same lines begin first (first_doc_id, first_at); without documents that are copies as a whole."""
+    return joined(later_runs(docs, min_lines, doc_id, text)[0], min_lines)
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -90,7 +94,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def _marked(docs: DataFrame, min_lines: int, doc_id: str, text: str) -> DataFrame:
     """``docs`` with _gone: the places of lines to remove, null for none, and _copy: whether all go."""
     later, copies = later_runs(docs, min_lines, doc_id, text)
-    gone = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
+    places = F.sequence("at", (F.col("at") + F.col("n_lines") - 1).cast("int"))
+    gone = joined(later, min_lines).select("doc_id", F.explode(places).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("_gone"))
     found = gone.withColumn("_copy", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("_gone"), F.lit(True).alias("_copy")))
     found = save(found.withColumnRenamed("doc_id", "_of"), "gone")
     rows = found.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]

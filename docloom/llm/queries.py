@@ -65,6 +65,11 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"), min_lines=3)
 
 
+def op8_linededup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated line, also those that are repeated singly or in pairs."""
+    return linededup.report(_table(spark, sf_dir, "documents"), min_lines=1)
+
+
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_jaccard": op7_jaccard,
     "op8_linededup": op8_linededup,
+    "op8_linededup_single": op8_linededup_single,
     "op9_maxscore": op9_maxscore,
     "op10_bpe": op10_bpe,
 }
@@ -121,6 +127,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
                sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i::BIGINT), false)), chr(10)), '')) AS kept_sha256
         FROM t LEFT JOIN gl USING (doc_id)""",
+    "op8_linededup_single": r"""
+        WITH t AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')) AS w FROM documents),
+             g AS (SELECT doc_id, unnest(w) AS line, unnest(generate_series(1, len(w))) AS p FROM t WHERE len(w) > 0),
+             k AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS n FROM g),
+             s AS (SELECT doc_id, count(*) FILTER (n > 1) AS n_removed, string_agg(line, chr(10) ORDER BY p) FILTER (n = 1) AS kept FROM k GROUP BY doc_id)
+        SELECT t.doc_id, len(w)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN s USING (doc_id)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
              first AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
