@@ -26,7 +26,7 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
     """id, dl, term, tf of each term of each document; of ``terms`` only if given, which are picked before anything is shuffled."""
     d = docs.select(F.col(doc_id).alias("id"), tokens(text).alias("t"))
     each = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
@@ -35,12 +35,12 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, doc_id: str = "doc
     return each.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def frequencies(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
+def frequencies(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
     """term, df: in how many documents each term occurs, counted where the documents are before one row a term is shuffled."""
     return docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
 
 
-def corpus(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.tokens) -> DataFrame:
+def corpus(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
     """One row: n documents, avgdl."""
     return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
 
@@ -58,7 +58,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     ``where`` filters documents as candidates; the statistics stay those of all documents.
     """
     totals = corpus(docs, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.search_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.select("term").distinct()
     n_asked = asked.count()  # at least as many as there are terms
     terms = small(terms, n_asked)
