@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import search as R
-from .registry import Literal, query, table
+from .registry import SQL, Literal, query, table
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_\-]+')"
 
@@ -99,11 +99,11 @@ CHUNKS = "chunks AS (SELECT doc_id AS id, source AS file, (row_number() OVER (PA
 RUNS = "runs AS (SELECT *, CASE WHEN is_table THEN (chunk_index - row_number() OVER (PARTITION BY file, is_table ORDER BY chunk_index))::INT END AS run FROM chunks)"
 
 
-def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
+def chunks_of(spark: SparkSession, sf: str, width: int | None = 40) -> DataFrame:
     from pyspark.sql import Window
 
     at = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), (F.row_number().over(at) - 1).alias("chunk_index"), (F.col("text").contains(" | ") | F.col("text").contains("###")).alias("is_table"), F.left("text", F.lit(40)).alias("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), (F.row_number().over(at) - 1).alias("chunk_index"), (F.col("text").contains(" | ") | F.col("text").contains("###")).alias("is_table"), (F.col("text") if width is None else F.left("text", F.lit(width))).alias("text"))
 
 
 @query(f"WITH {CHUNKS}, {RUNS} SELECT file, run, min(chunk_index) AS first_chunk, count(*) AS n FROM runs WHERE run IS NOT NULL GROUP BY file, run")
@@ -118,12 +118,18 @@ def table_runs(spark: SparkSession, sf: str) -> DataFrame:
  first AS (SELECT * EXCLUDE c FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank) AS c FROM near) WHERE c = 1),
  kept AS (SELECT * FROM first UNION ALL SELECT query_id, rank, hit, hit FROM a WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = a.query_id AND f.hit = a.hit))
  SELECT query_id, rank, hit AS id, string_agg(c.text, chr(10) || '…' || chr(10) ORDER BY c.chunk_index) AS text, string_agg(c.id::VARCHAR, ',' ORDER BY c.chunk_index) AS expanded_from FROM kept JOIN chunks c ON c.id = kept.id GROUP BY query_id, rank, hit""")
-def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
+def neighbor_expand(spark: SparkSession, sf: str, width: int | None = 40) -> DataFrame:
     hits = R.bm25(queries_of(spark, sf), table(spark, sf, "documents"), 6)
-    out = R.neighbours(hits, chunks_of(spark, sf))
+    out = R.neighbours(hits, chunks_of(spark, sf, width))
     return out.withColumn("expanded_from", F.array_join(F.transform("expanded_from", lambda x: x.cast("string")), ","))
 
 
+@query(SQL["neighbor_expand"].replace("left(text, 40) AS text", "text"))
+def neighbor_expand_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, where neighbor_expand takes their starts."""
+    return neighbor_expand(spark, sf, None)
+
+
 @query()
 def near_duplicate_pool(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -1,9 +1,10 @@
-"""Operators do their whole job: codes as tokens."""
+"""Operators do their whole job: codes as tokens, whole texts, all valid neighbours."""
 
 import math
 from collections import Counter
 
 from docloom.operators import search as R
+from docloom.plans import QUERIES
 
 
 def test_bm25_counts_normative_codes(spark):
@@ -31,3 +32,11 @@ def test_bm25_counts_normative_codes(spark):
     got = {r.id: r.score for r in R.bm25(queries, docs, 9).collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 2e-6 for d in want)
     assert {r.term for r in R.frequencies(docs).collect()} == df.keys() and abs(R.corpus(docs).first().avgdl - avgdl) < 1e-9
+
+
+def test_expansion_keeps_whole_texts(spark, tmp_path):
+    texts = [f"начало {i} " + "слово " * 30 + f"конец{i}" for i in range(3)]
+    spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "конец1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = QUERIES["neighbor_expand_whole"](spark, str(tmp_path)).first()
+    assert found.text == "\n…\n".join(texts) and found.expanded_from == "0,1,2"
