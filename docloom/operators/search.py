@@ -194,8 +194,12 @@ def expand_queries(queries: DataFrame, n: int = 3, paraphrase: Callable[[list[st
     return queries.withColumn("every", F.slice(distinct, 1, n + 1)).select("query_id", F.posexplode("every").alias("n", "text"))
 
 
-def context(hits: DataFrame, limit: int = 8, width: int = 3000) -> DataFrame:
-    """Numbered context of each query from hits (query_id, rank, file, loc, score, text)."""
+def context(hits: DataFrame, limit: int = 8, width: int = 3000, match: str | None = None) -> DataFrame:
+    """Numbered context of each query from hits (query_id, rank, file, loc, score, text).
+
+    Long texts are cut around the place that the column ``match`` names; without it their start is taken.
+    """
+    part = F.left(T.text("text"), F.lit(width)) if match is None else T.snippet("text", T.text(match), width)
     top = hits.where(F.col("rank") <= limit)
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("file"), F.lit(", "), F.col("loc"), F.lit("\n"), F.left(T.text("text"), F.lit(width)))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("file"), F.lit(", "), F.col("loc"), F.lit("\n"), part)
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_sources"))

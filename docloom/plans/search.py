@@ -157,6 +157,22 @@ def answer_context(spark: SparkSession, sf: str) -> DataFrame:
     return R.context(hits, 3, 100)
 
 
+#: The place that a hit's text is cut around: the passage itself if it is there, or its first word of 4 letters or more that is.
+_MATCH = r"coalesce(list_filter(list_concat([q.text], string_split_regex(q.text, '\s+')), lambda w: length(w) > 3 AND contains(d.text, w))[1], '')"
+
+
+@query(rf"""WITH {bm25_sql(8)}, h AS (SELECT query_id, rank, source, lang, d.text AS t, length(d.text) AS n, greatest(0, greatest(strpos(d.text, {_MATCH}) - 1, 0) - 1000) AS s FROM bm25 b JOIN documents d ON d.doc_id = b.id JOIN benchmark q ON q.item_id = b.query_id),
+ c AS (SELECT query_id, rank, source, lang, CASE WHEN n <= 3000 THEN t ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 3000) || CASE WHEN s + 3000 < n THEN '…' ELSE '' END END AS part FROM h)
+ SELECT query_id, string_agg('[' || rank || '] ' || source || ', ' || lang || chr(10) || part, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM c GROUP BY query_id""")
+def answer_context_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight hits of 3000 characters around the match, as the operator and the reference have them."""
+    docs, asked = table(spark, sf, "documents"), queries_of(spark, sf)
+    hits = R.bm25(asked, docs, 8).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("lang").alias("loc"), "text"), "id")
+    parts = F.concat(F.array("query"), F.split("query", r"\s+"))
+    match = F.get(F.filter(parts, lambda w: (F.length(w) > 3) & F.contains("text", w)), 0)
+    return R.context(hits.join(asked.select("query_id", F.col("text").alias("query")), "query_id").withColumn("match", match), match="match")
+
+
 TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 

@@ -40,3 +40,18 @@ def test_expansion_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "конец1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     found = QUERIES["neighbor_expand_whole"](spark, str(tmp_path)).first()
     assert found.text == "\n…\n".join(texts) and found.expanded_from == "0,1,2"
+
+
+def test_context_is_cut_around_the_match(spark):
+    text = "а" * 5000 + "ИТОГО: 12,345 т/год" + "б" * 5000
+    hits = spark.createDataFrame([(1, 1, "f", "p", text, "ИТОГО"), (1, 2, "f", "q", "короткий", "нет")], "query_id long, rank int, file string, loc string, text string, match string")
+    found = R.context(hits, match="match").first()
+    assert found.context == "[1] f, p\n…" + text[4000:7000] + "…\n\n[2] f, q\nкороткий" and found.n_sources == 2
+
+
+def test_context_query_reaches_the_eighth_hit(spark, tmp_path):
+    rows = [(i, "а " * 4000 + "итого " * (9 - i) + "я " * 4000, "f", "ru") for i in range(8)] + [(i, "пусто", "f", "ru") for i in range(8, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "итого")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = QUERIES["answer_context_whole"](spark, str(tmp_path)).first()
+    assert found.n_sources == 8 and all("итого" in part and len(part) < 3100 for part in found.context.split("\n\n"))
