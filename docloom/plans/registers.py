@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import registers as G
-from .registry import Literal, query, table
+from .registry import SQL, Literal, query, table
 from .texts import QTY_SQL, QUANTITIES, kind_sql, squeeze, strip
 
 ANSWERS = Literal(
@@ -150,3 +150,12 @@ def hard_negative_triples(spark: SparkSession, sf: str) -> DataFrame:
 
     d = table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("remark"), F.left("text", F.lit(60)).alias("snippet"), F.col("source").alias("file"))
     return E.triples(d)
+
+
+@query(SQL["hard_negative_triples"].replace("left(text, 60)", "sha256(text)"))
+def hard_negative_triples_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, each named by its hash, where hard_negative_triples compares their starts."""
+    from ..operators import evaluation as E
+
+    d = table(spark, sf, "documents").where(F.trim("text") != "")
+    return E.triples(d.select(F.col("lang").alias("project"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("remark"), F.sha2("text", 256).alias("snippet"), F.col("source").alias("file")))

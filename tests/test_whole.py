@@ -1,5 +1,6 @@
 """Operators do their whole job: codes as tokens, whole texts, all valid neighbours."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -55,3 +56,11 @@ def test_context_query_reaches_the_eighth_hit(spark, tmp_path):
     spark.createDataFrame([(1, "итого")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     found = QUERIES["answer_context_whole"](spark, str(tmp_path)).first()
     assert found.n_sources == 8 and all("итого" in part and len(part) < 3100 for part in found.context.split("\n\n"))
+
+
+def test_negatives_may_share_an_opening(spark, tmp_path):
+    texts = {1: "о" * 60 + "один", 2: "о" * 60 + "два", 3: "о" * 60 + "один"}
+    spark.createDataFrame([(d, t, "ru", f"f{d}") for d, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
+    found = {r.pos: (r.positive, r.negative) for r in QUERIES["hard_negative_triples_whole"](spark, str(tmp_path)).collect()}
+    assert found == {1: (sha[1], sha[2]), 2: (sha[2], sha[3]), 3: (sha[3], sha[2])}
