@@ -47,11 +47,8 @@ def similar_by_vector(queries: DataFrame, memory: DataFrame, k: int = 3, at_leas
     """As :func:`similar`, by the cosine of vectors (queries and memories with a column vector)."""
     from .search import dense
 
-    near = dense(queries, memory.where(~F.coalesce("retracted", F.lit(False))), k=10 * k).where(F.col("score") >= at_least)
-    named = near.join(queries.select("query_id", F.col("project").alias("own"), F.lower("remark").alias("q")), "query_id").join(memory.select("id", "project", F.lower("remark").alias("m")), "id")
-    kept = named.where((F.col("own") != F.col("project")) & (F.col("q") != F.col("m"))).select("query_id", "id", "score")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    m = memory.where(~F.coalesce("retracted", F.lit(False))).withColumn("remark", F.lower("remark"))
+    return dense(queries.withColumn("remark", F.lower("remark")), m, k, own=True, unlike=("project", "remark")).where(F.col("score") >= at_least)
 
 
 def few_shot(hits: DataFrame, remark: int = 300, answer: int = 500) -> DataFrame:

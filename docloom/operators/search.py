@@ -6,7 +6,7 @@ Query-side tables are broadcast only below ``SMALL`` rows, which is counted firs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,26 +75,32 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "score") -> DataFr
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query: str = "vector", vec_id: str = "id", vector: str = "vector", own: bool = False) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query: str = "vector", vec_id: str = "id", vector: str = "vector", own: bool = False, unlike: Sequence[str] = ()) -> DataFrame:
     """query_id, id, score (cosine), rank of the ``k`` nearest vectors, exactly; without ``own`` a query's own id is left out.
 
+    ``unlike`` are columns of both tables; vectors that equal a query in one of them, or lack it, are left out before the nearest are kept.
+
     Vectors lie in shards of about ``SHARD_ROWS``; every query goes to every shard, whose best are merged.
     """
-    held = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    held = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"), *unlike).where(F.col("v").isNotNull())
     shards = max(1, -(-held.count() // SHARD_ROWS))
     held = held.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("q")).where(F.col("q").isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("q"), *unlike).where(F.col("q").isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
         unit = lambda rows: (m := np.stack(rows.to_numpy()).astype(np.float64)) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
         ids, v, out = a["id"].to_numpy(), unit(a.v), []
-        for q, x in zip(b.query_id, unit(b.q), strict=True):
+        held, known = [a[c].to_numpy() for c in unlike], [a[c].notna().to_numpy() for c in unlike]
+        for q, x, *not_these in zip(b.query_id, unit(b.q), *[b[c] for c in unlike], strict=True):
             s = np.round(v @ x, 6)
-            keep = np.lexsort((ids, -s))[: k + 1]
-            keep = keep[ids[keep] != q] if not own else keep
-            out.append(pd.DataFrame({"query_id": q, "id": ids[keep[:k]], "score": s[keep[:k]]}))
+            allowed = np.full(len(ids), True) if own else ids != q
+            for values, has, value in zip(held, known, not_these, strict=True):
+                allowed &= has & (values != value) & pd.notna(value)
+            places = np.flatnonzero(allowed)
+            keep = places[np.lexsort((ids[places], -s[places]))[:k]]
+            out.append(pd.DataFrame({"query_id": q, "id": ids[keep], "score": s[keep]}))
         return pd.concat(out)
 
     found = held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(search, "query_id long, id long, score double")

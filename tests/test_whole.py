@@ -4,7 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
-from docloom.operators import search as R
+from docloom.operators import memory as M, search as R
 from docloom.plans import QUERIES
 
 
@@ -64,3 +64,11 @@ def test_negatives_may_share_an_opening(spark, tmp_path):
     sha = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
     found = {r.pos: (r.positive, r.negative) for r in QUERIES["hard_negative_triples_whole"](spark, str(tmp_path)).collect()}
     assert found == {1: (sha[1], sha[2]), 2: (sha[2], sha[3]), 3: (sha[3], sha[2])}
+
+
+def test_memory_by_vector_beyond_the_own_project(spark):
+    rows = [(i, "own", f"r{i}", False, [1.0, 0.0]) for i in range(40)] + [(100 + i, "copies", "Вопрос", False, [1.0, 0.0]) for i in range(40)]
+    rows += [(7000, "other", "a", False, [0.9, 0.1]), (7001, "other", "b", False, [0.8, 0.3]), (7002, "other", "c", True, [1.0, 0.0]), (7003, None, "d", False, [1.0, 0.0]), (7004, "other", "e", False, [0.0, 1.0])]
+    memory = spark.createDataFrame(rows, "id long, project string, remark string, retracted boolean, vector array<float>")
+    asked = spark.createDataFrame([(7000, "own", "вопрос", [1.0, 0.0])], "query_id long, project string, remark string, vector array<float>")
+    assert [(r.id, r.rank) for r in M.similar_by_vector(asked, memory).orderBy("rank").collect()] == [(7000, 1), (7001, 2)]
