@@ -90,12 +90,20 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
 BROADCAST_IDS = 1_000_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in the one column of ``ids``; broadcast up to ``BROADCAST_IDS`` ids, shuffled beyond."""
-    gone = save(ids.toDF("_gone"), "ids")
+    gone = save(ids.toDF(name := fresh(docs, "gone")), "ids")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").select(docs.columns)
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti").select(docs.columns)
 
 
 #: Words of a Bloom filter that are broadcast at most (about 40 bytes each), and its bits for each key.
@@ -127,7 +135,7 @@ _HELD: dict = {}
 
 
 def worker_cache(key, make):
-    """What ``make`` gives, kept by this Python worker until another operator asks for its own; a worker outlives an operator."""
+    """What ``make`` gives, kept by this Python worker until another table is asked for; a worker outlives an operator."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()

@@ -7,24 +7,25 @@ below, for partners across its edge) that is at most D elements, and every docum
 bit sketch has G > D segments of 2**20 bits: an element is XORed into one bit of one
 segment, so the Hamming distance of two sketches is at most the number of elements in which the
 sets differ, and at least G - D segments are equal (pigeonhole).  A segment's key is the XOR of
-hashes of its set bits.  Documents that share a key are candidates.
+hashes of its set bits.
 
-Keys of segments with fewer than two elements say little, so they are left out while
-the count of the others still forces a common key; else they are added.  Elements
-found in many documents of a small sample (``COMMON``: it affects speed only) go to a segment
-of their own that is no key; documents with too few other elements add the keys of a
-sketch without that rule.  So no link is lost.
+Keys are counted over all documents.  Two similar documents have at least G - D keys of a band in
+common, so a document with fewer repeated keys than that has no partner in the band, and any other
+may leave out its G - D - 1 most frequent keys (empty segments first): with one order of keys for
+all, by count, one common key still remains.  So keys of widely shared passages are the first to go,
+and documents that have only a passage in common don't meet at all.  Documents that share a key that
+is left are candidates.
 
 Copies with equal sets are one class.  In a group of candidates each class is first held against the
 least one; links make components.  Then, in groups that still hold several components, classes
 outside the least one's component are held against the others.  Classes already connected are never
 compared, so a large group of near copies costs one comparison for each member.  Before the exact
-check, pairs must pass the sizes' ratio and the Hamming distance of a folded 512-bit sketch.
+check, pairs must pass the sizes' ratio and the Hamming distance of a folded sketch.
 
 Results for odd input: a null or blank text has an empty set and is linked with nothing;
 fewer words than ``shingle`` make one element; rows with the same id are one document of all
 their links; a null id gives a null component; an empty table gives no row; other
-columns are left out.
+columns are left out or, in :func:`one_of_each`, kept.
 """
 
 from __future__ import annotations
@@ -34,14 +35,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import attach_groups, forget, possibly_in, save, tidy, without_ids, worker_cache
+from .common import attach_groups, forget, possibly_in, save, tidy, without_ids
 from .components import components
-from .words import mix, run_hashes, spans, word_hashes
-
-#: Documents in the sample for common elements, and the part of them that makes an element common.
-COMMON_DOCS, COMMON = 8_000, 0.001
+from .words import mix, run_hashes, word_hashes
 
 #: Ids that are broadcast at most when texts are picked by id.
 BROADCAST_IDS = 1_000_000
@@ -51,11 +49,10 @@ FOLDED = 8  # 64-bit words of the folded sketch
 
 def elements(raw: bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word runs, A-Z in lower case."""
-    raw = (raw or b"").lower()
-    starts, ends = spans(raw)
-    if not len(starts):
+    words = (raw or b"").lower().split()
+    if not words:
         return np.empty(0, np.uint64)
-    return np.unique(run_hashes(word_hashes(raw, starts, ends), min(shingle, len(starts))))
+    return np.unique(run_hashes(word_hashes(words), min(shingle, len(words))))
 
 
 class Bands:
@@ -76,43 +73,40 @@ class Bands:
 
     def segments(self, band: int) -> int:
         d = self.differ(band)
-        return d + 3 + d // 10
+        return d + 3 + d // SLACK
 
     def joins(self, n: int) -> list[int]:
         """The own band of a set of size n, and those of partners that are larger."""
         return [*range(self.of(n), self.of(int(n / self.t)) + 1)]
 
 
-def keys(own: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of a set."""
+#: A sketch has a segment more for each so many differences allowed: more keys, of which more can be left out.
+SLACK = 4
+
+
+def keys(own: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarray]]:
+    """For each band that a set takes part in: band, how many of its most frequent keys it may leave out, and its keys."""
     out = []
-    is_common = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
     for band in bands.joins(len(own)):
         d, g = bands.differ(band), bands.segments(band)
         if d == 0:
             continue  # only equal sets, which are one class
-        for plain in (False, True):
-            x = own if plain else own[~is_common]
-            segment = ((x >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
-            bit = (segment << np.uint64(20)) | (x & np.uint64(0xFFFFF))
-            hashed = mix(bit + (np.uint64(band * 2 + plain) << np.uint64(44)))
-            order = np.argsort(segment, kind="stable")
-            segment, hashed = segment[order], hashed[order]
-            first = np.flatnonzero(np.diff(segment, prepend=np.uint64(g + 1)))
-            xor = np.bitwise_xor.reduceat(hashed, first) if len(first) else hashed[:0]
-            counts = np.diff(np.append(first, len(segment)))
-            tagged = mix(xor ^ mix(segment[first] + (np.uint64(band * 2 + plain) << np.uint64(40)) + np.uint64(1)))
-            need = g - d  # segments that are equal at least; without the rule for common elements, of g; with it, one less
-            need -= 0 if plain else 1
-            weak = g - int((counts >= 2).sum())
-            empty = g - len(first)
-            out.append(tagged[counts >= 2] if weak < need else tagged)
-            if empty < need:
-                break
-            if plain:
-                missing = np.setdiff1d(np.arange(g, dtype=np.uint64), segment[first])
-                out.append(mix(mix(missing + (np.uint64(band * 2 + 1) << np.uint64(40)) + np.uint64(1))))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        segment = ((own >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
+        bit = (segment << np.uint64(20)) | (own & np.uint64(0xFFFFF))
+        hashed = mix(bit + (np.uint64(band) << np.uint64(44)))
+        order = np.argsort(segment, kind="stable")
+        segment, hashed = segment[order], hashed[order]
+        first = np.flatnonzero(np.diff(segment, prepend=np.uint64(g + 1)))
+        held = segment[first]
+        tag = np.uint64((band << 40) + 1)
+        found = mix(np.bitwise_xor.reduceat(hashed, first) ^ mix(held + tag))
+        spare = g - d - 1
+        if (empty := g - len(first)) <= spare:
+            out.append((band, spare - empty, found))
+        else:  # some empty segments are keys as well, the same first ones for all
+            missing = np.setdiff1d(np.arange(g, dtype=np.uint64), held)[: empty - spare]
+            out.append((band, 0, np.concatenate([found, mix(mix(missing + tag))])))
+    return out
 
 
 def _folded(own: np.ndarray) -> np.ndarray:
@@ -125,40 +119,32 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
 
 
-def common_elements(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Elements of at least ``COMMON`` of the documents in a sample of ``COMMON_DOCS`` by hash of their id, sorted."""
-    rows = _texts(docs, doc_id, text)
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_DOCS)  # ids alone: no text is sent on
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+def _sums(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return int(mix(own).sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], ["e"])
-
-    found = sample.mapInArrow(sets, "e array<long>").limit(COMMON_DOCS).select(F.explode("e").alias("e")).groupBy("e").count().where(F.col("count") >= max(8, int(COMMON * COMMON_DOCS))).select("e").toArrow()
-    return np.sort(found["e"].to_numpy().astype(np.int64).view(np.uint64))
 
+_LONGS = pa.list_(pa.int64())
+_OFFERS = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int32()), ("keys", _LONGS)]))
 
-def _sketches(docs: DataFrame, common: np.ndarray, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(common)
 
+def _sketches(docs: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, common = worker_cache(("jaccard", t), lambda: Bands(t)), sent.value
+        bands = Bands(t)
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
-                n, f1, f2, folded, all_keys = [], [], [], [], []
+                n, f1, f2, folded, offers = [], [], [], [], []
                 for x in b["text"].to_pylist():
                     own = elements(x, shingle)
                     n.append(len(own))
-                    f1.append(int(mix(own).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    for sums, s in zip((f1, f2), _sums(own), strict=True):
+                        sums.append(s)
                     folded.append(_folded(own))
-                    all_keys.append(keys(own, common, bands).view(np.int64))
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(folded, longs), pa.array(all_keys, longs)], ["doc_id", "n", "f1", "f2", "folded", "keys"])
+                    offers.append([{"band": band, "spare": spare, "keys": k.view(np.int64)} for band, spare, k in keys(own, bands)] if len(own) else [])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(folded, _LONGS), pa.array(offers, _OFFERS)], ["doc_id", "n", "f1", "f2", "folded", "offers"])
 
-    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, folded array<long>, keys array<long>")
+    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, folded array<long>, offers array<struct<band: int, spare: int, keys: array<long>>>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
@@ -167,69 +153,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, shingle: int,
     p, q = t.numerator, t.denominator
     side = lambda s: sizes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("folded").alias(f"f{s}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p).where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
-    close = save(close.select("a", "b", "na", "nb"), "pairs")
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    close = save(close.select("a", "b"), "pairs")
+    ids = save(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], pa.list_(pa.int64()))], ["doc_id", "e"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], _LONGS)], ["doc_id", "e"])
 
-    sets = _texts(docs, doc_id, text).join(ids, "doc_id").mapInArrow(run, "doc_id long, e array<long>")
-    sets = save(sets, "sets")
+    sets = save(_texts(docs, doc_id, text).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, e array<long>"), "sets")
     both = close.join(sets.select(F.col("doc_id").alias("a"), F.col("e").alias("ea")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("e").alias("eb")), "b")
     common = F.size(F.array_intersect("ea", "eb")).cast("long")
-    out = save(both.where(common * q >= (F.col("na") + F.col("nb") - common) * p).select("a", "b"), "links")
+    out = save(both.where(common * q >= (F.size("ea") + F.size("eb") - common) * p).select("a", "b"), "links")
     forget(close, sets)
     return out
 
 
+def _candidates(one: DataFrame) -> DataFrame:
+    """key, id: the keys that documents are compared by (see the module's text)."""
+    emitted = one.select(F.col("doc_id").alias("id"), F.explode("offers").alias("o")).select("id", "o.band", "o.spare", F.explode("o.keys").alias("key"))
+    n_keys = one.agg(F.sum(F.aggregate("offers", F.lit(0).cast("long"), lambda s, o: s + F.size(o["keys"])))).first()[0] or 0
+    groups = save(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
+    tidy(one.sparkSession)
+    repeated = possibly_in(emitted, groups, "key", groups.count())
+    shared = attach_groups(repeated, groups, "key", "members", n_keys)
+    own = Window.partitionBy("id", "band")
+    placed = shared.select("key", "id", "spare", F.row_number().over(own.orderBy("members", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("repeated"))
+    out = save(placed.where("place <= repeated - spare").select("key", "id"), "shared-keys")
+    forget(groups)
+    return out
+
+
 def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles and component_id, the least id that links of at least this Jaccard similarity lead to."""
-    common = common_elements(docs, shingle, doc_id, text)
-    all_rows = save(_sketches(docs, common, shingle, at_least, doc_id, text), "sketches")
+    spark = docs.sparkSession
+    all_rows = save(_sketches(docs, shingle, at_least, doc_id, text), "sketches")
     total = all_rows.count()
     filled = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = save(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("members")), "classes")
-    classes = classes.withColumn("set", F.struct("n", "f1", "f2"))
-    own = filled.select("doc_id", F.struct("n", "f1", "f2").alias("set"))
-    again = save(attach_groups(own, classes.where("members > 1").select("set", "class", "members"), "set", "members", total).where("doc_id > class").select("doc_id", "class"), "copies")
-
-    one = filled.join(again.select("doc_id"), "doc_id", "left_anti")
-    emitted = one.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    groups = save(emitted.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
-    n_keys = one.agg(F.sum(F.size("keys"))).first()[0] or 0
-    tidy(docs.sparkSession)
-    repeated = possibly_in(emitted, groups, "key", groups.count())
-    shared = save(attach_groups(repeated, groups, "key", "members", n_keys).select("key", "id", "hub"), "shared-keys")
+    named_set = F.struct("n", "f1", "f2").alias("set")
+    classes = save(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("members")).where("members > 1").select(named_set, "class", "members"), "classes")
+    again = save(attach_groups(filled.select("doc_id", named_set), classes, "set", "members", total).where("doc_id > class").select("doc_id", "set", "class"), "copies")
+
+    one = filled.join(again.select("doc_id", F.col("set.n").alias("n"), F.col("set.f1").alias("f1"), F.col("set.f2").alias("f2")), ["doc_id", "n", "f1", "f2"], "left_anti")
+    shared = _candidates(one)
     sizes = save(one.select("doc_id", "n", "folded"), "sizes")
+    n_shared = shared.count()
+    hubs = save(shared.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hubs")
+    shared = save(attach_groups(shared, hubs, "key", "members", n_shared).select("key", "id", "hub"), "grouped-keys")
     all_rows, big = save(all_rows.select("doc_id", "n"), "set-sizes"), all_rows
-    forget(big, groups)
+    several = save(filled.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    forget(big, hubs)
 
     stars = _verified(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, sizes, shingle, at_least, doc_id, text)
     near = components(stars)
-    of = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
     named = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    placed = save(shared.join(named("id"), "id", "left").select("key", "id", of("id").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1")
-    mixed = mixed.join(named("hub"), "hub", "left").select("key", "hub", of("hub").alias("hub_c"))
+    of = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
+    others = _across(save(shared.join(named("id"), "id", "left").select("key", "id", of("id").alias("c")), "placed"), sizes, at_least)
+    others = _verified(others, docs, sizes, shingle, at_least, doc_id, text)
+
+    # What is left links components of stars, so that the second graph is small.
+    copied = again.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    left = others.unionByName(copied.join(several.toDF("a"), "a", "left_semi"))
+    left = left.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a").alias("a"), of("b").alias("b"))
+    joined = components(left)
+    last = lambda c: F.coalesce(F.col("component"), F.col(c))
+    nodes = near.select("node", F.col("component").alias("c")).unionByName(joined.select("node", F.col("node").alias("c")).join(near.select("node"), "node", "left_anti"))
+    nodes = save(nodes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", last("c").alias("component")), "nodes")
+    copies = copied.groupBy("a").agg(F.min("b").alias("b")).join(nodes.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("node"), last("b").alias("component"))
+    found = save(copies.join(nodes.select("node"), "node", "left_anti").unionByName(nodes), "components")
+    tidy(spark)
+    return all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", last("doc_id").alias("component_id"))
+
+
+def _across(placed: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of different components (placed: key, id, c) that share a key and may be similar; one of each is outside the component of the key's least id."""
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("c", "id").alias("hub_c"), F.min("id").alias("hub")).where("c0 <> c1").select("key", "hub", "hub_c")
     bits = [F.get("folded", F.lit(i)).alias(f"f{i}") for i in range(FOLDED)]
     held = save(placed.join(mixed, "key").join(sizes.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), *bits), "id"), "mixed")
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "c", "size", *(f"f{i}" for i in range(FOLDED)))]
-    members = held.where("id <> hub").select("key", (F.col("c") != F.col("hub_c")).alias("y_out"), *side("y"))
+    members = held.where("id <> hub").select(F.col("key").alias("y_key"), (F.col("c") != F.col("hub_c")).alias("y_out"), *side("y"))
     outside = held.where("c <> hub_c").select("key", *side("x"))
     # All conditions are the join's own, so that only pairs that may be similar become rows.
     apart = sum((F.bit_count(F.col(f"x_f{i}").bitwiseXOR(F.col(f"y_f{i}"))) for i in range(FOLDED)), F.lit(0))
-    p, q = at_least.numerator, at_least.denominator
+    p, q = t.numerator, t.denominator
     sized = (F.least("x_size", "y_size") * q >= F.greatest("x_size", "y_size") * p) & (apart * (p + q) <= (F.col("x_size") + F.col("y_size")) * (q - p))
     other = (F.col("x_c") != F.col("y_c")) & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
-    crossed = outside.join(members.withColumnRenamed("key", "y_key"), (F.col("key") == F.col("y_key")) & other & sized).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-    others = _verified(crossed, docs, sizes, shingle, at_least, doc_id, text)
-
-    found = components(stars.unionByName(others).unionByName(again.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))))
-    named_rows = all_rows.select("doc_id", F.col("n").alias("n_shingles"))
-    return named_rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return outside.join(members, (F.col("key") == F.col("y_key")) & other & sized).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with MaxScore (operator 9).
 
-Vectors lie in shards of about ``SHARD_ROWS``, as one posting list for each
+Vectors lie in shards of ``SHARD_ROWS`` or more, as one posting list for each
 dimension (term) with its least and greatest value.  For a query, a term adds between
 a lower and an upper bound in the shard; measured from the lower bounds, all
 contributions are at least 0.  Terms are sorted by the width of their bounds.  Those
@@ -12,6 +12,9 @@ Queries go in blocks of ``QUERY_ROWS`` to every shard; a task holds one shard an
 block.  A candidate is passed over only if it can't reach the k-th best score, so
 that ties are resolved by id.
 
+Scores are exact: a shard and a block whose products may pass 2**53, where doubles would round them, are worked
+off in Python's integers; a score beyond 64 bits is ranked as it is and returned as the nearest long.
+
 Results for odd input: a vector that is null or holds a null, NaN or infinite component
 takes no part, as a query or as a candidate; missing components of a shorter vector count
 as 0; an empty vector scores 0; a query with fewer candidates than k gets all; rows
@@ -25,9 +28,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import save
+from .common import partitions, save
+
+#: Vectors in a shard: between these, with the input. Queries in a block.
+SHARD_ROWS, MOST_ROWS, QUERY_ROWS = 4096, 65536, 16384
 
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
+LARGEST = (1 << 63) - 1
 
 #: Candidates that are scored in full to begin with.
 START = 64
@@ -41,6 +47,12 @@ def whole_components(vector: str, scale: int = 1024) -> Column:
     return F.when(c.isNotNull() & ~bad, F.transform(c, lambda v: F.floor(x(v) * F.lit(float(scale)))))
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best, ties by id."""
+    by_id = np.argsort(ids, kind="stable")
+    return by_id[np.argsort(-scores[by_id], kind="stable")][:k]
+
+
 def search_shard(ids: np.ndarray, postings: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of one shard for one query. postings: a row for each term, a column for each vector."""
     ends = query[:, None] * np.stack([postings.min(1), postings.max(1)], 1)
@@ -50,12 +62,12 @@ def search_shard(ids: np.ndarray, postings: np.ndarray, own: int, query: np.ndar
     allowed = np.flatnonzero(ids != own)
     first, rest = allowed[:START], allowed[START:]
     top_ids, top = ids[first], query @ postings[:, first]
-    keep = np.lexsort((top_ids, -top))[:k]
+    keep = _best(top_ids, top, k)
     top_ids, top = top_ids[keep], top[keep]
     if not len(rest):
         return top_ids, top
     bound = top[-1] if len(top) == k else -np.inf
-    cut = int(np.searchsorted(low.sum() + sums, bound, side="left"))  # terms before it are non-essential
+    cut = int((low.sum() + sums < bound).sum())  # terms before it are non-essential
     essential, probes = order[cut:], order[:cut][::-1]
     reached = low[order[:cut]].sum() + query[essential] @ postings[np.ix_(essential, rest)]
     left = sums[cut - 1] if cut else 0
@@ -66,22 +78,30 @@ def search_shard(ids: np.ndarray, postings: np.ndarray, own: int, query: np.ndar
         reached = reached - low[term] + query[term] * postings[term, rest]
         left = sums[cut - at - 2] if cut - at >= 2 else 0
     all_ids, all_scores = np.concatenate([top_ids, ids[rest]]), np.concatenate([top, reached])
-    keep = np.lexsort((all_ids, -all_scores))[:k]
+    keep = _best(all_ids, all_scores, k)
     return all_ids[keep], all_scores[keep]
 
 
 def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims))
+    out = np.zeros((len(rows), dims), np.int64)
     for i, x in enumerate(rows):
         out[i, : len(x)] = x
     return out
 
 
+def _exact(postings: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles, or as Python integers where a sum of products might not be a whole double."""
+    most = lambda m: max(abs(int(m.min())), abs(int(m.max())), 1)
+    kind = np.float64 if 2 * len(postings) * most(postings) * most(queries) < 1 << 53 else object
+    return postings.astype(kind), queries.astype(kind)
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best other rows for each row where ``queries`` holds."""
     clean = save(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_components(vector, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL AND v IS NOT NULL"), "vectors")
     rows, asked = clean.count(), clean.where("asks").count()
-    shards, blocks = max(1, -(-rows // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
+    held_rows = min(MOST_ROWS, max(SHARD_ROWS, rows // (2 * partitions(vectors.sparkSession))))
+    shards, blocks = max(1, -(-rows // held_rows)), max(1, -(-asked // QUERY_ROWS))
     h = F.xxhash64("vec_id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = clean.select("vec_id", "v", F.pmod(h, F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
@@ -91,12 +111,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_i
         out = []
         if len(vectors) and len(queries):
             dims = max(1, *map(len, vectors.v), *map(len, queries.q))
-            ids, postings = vectors.vec_id.to_numpy(), np.ascontiguousarray(_matrix(vectors.v, dims).T)
-            for own, q in zip(queries.query_id.tolist(), _matrix(queries.q, dims), strict=True):
+            ids = vectors.vec_id.to_numpy()
+            postings, asked = _exact(np.ascontiguousarray(_matrix(vectors.v, dims).T), _matrix(queries.q, dims))
+            for own, q in zip(queries.query_id.tolist(), asked, strict=True):
                 found, scores = search_shard(ids, postings, own, q, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out += [(own, int(i), min(max(int(s), -LARGEST - 1), LARGEST), (int(s) + (1 << 159)).to_bytes(20, "big")) for i, s in zip(found, scores, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "whole"])
 
-    found = held.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = held.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long, whole binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("whole"), F.asc("vec_id"))  # bytes sort like the scores
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

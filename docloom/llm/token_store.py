@@ -76,8 +76,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, d
 
     It only affects the size of the frames; every document is compressed whole.
     """
-    chosen = docs.select(F.col(doc_id).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(DICTIONARY_DOCS)  # ids alone: no text is sent on
-    sample = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"), "left_semi").select(F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)  # ids alone: no text is sent on
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
     end = struct.pack("<I", end_id)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,27 +1,18 @@
-"""Hashes of a text's words and word runs, with numpy on whole texts."""
+"""Hashes of a text's words and word runs."""
 
 from __future__ import annotations
 
-import numpy as np
+from hashlib import blake2b
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_CHUNK = 1 << 20
+import numpy as np
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+from .common import worker_cache
 
+#: Words whose hash a worker keeps, and the longest word kept.
+MAX_WORDS, MAX_WORD = 400_000, 64
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,21 +31,22 @@ def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; long texts are worked off in stretches of about a megabyte."""
-    out = np.empty(len(starts), np.uint64)
-    data = np.frombuffer(raw, np.uint8)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, side="right")))
-        first, last = int(starts[i]), int(ends[j - 1])
-        power, inverse = _grown(last - first + 1)
-        sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        at, end = starts[i:j] - first, ends[i:j] - first
-        out[i:j] = mix((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64))
-        i = j
-    return out
+class _Known(dict):
+    """Word -> the first 64 bits of its BLAKE2b sum."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MAX_WORD:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    known = worker_cache("words", _Known)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
@@ -65,5 +57,5 @@ def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     multiplier = np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
     out = words[:n].copy()
     for k in range(1, length):
-        out = out * multiplier + words[k : k + n]
+        out = (out ^ (out >> np.uint64(29))) * multiplier + words[k : k + n]
     return mix(out ^ np.uint64(seed))

@@ -7,16 +7,16 @@ from docloom.llm import linededup, queries
 
 def test_removals_come_from_maximal_runs(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf"), (2, "x\nb\nc\nd\ne\ny")], "doc_id long, text string")
-    seen, joined = [], linededup.joined
+    seen, maximal = [], linededup.maximal
 
-    def spy(later, min_lines):
-        out = joined(later, min_lines)
-        seen.extend(map(tuple, out.collect()))
+    def spy(later, ranks):
+        out = maximal(later, ranks)
+        seen.append((len(ranks), [(r.doc_id, r.at, r.n_lines, r.first.doc_id, r.first.at) for r in out.collect()]))
         return out
 
-    monkeypatch.setattr(linededup, "joined", spy)
+    monkeypatch.setattr(linededup, "maximal", spy)
     assert {r.doc_id: r.n_removed for r in linededup.report(df, 3).collect()} == {1: 0, 2: 4}
-    assert seen == [(2, 1, 4, 1, 1)]
+    assert seen == [(3, [(2, 1, 4, 1, 1)])]  # ranked by 1, 2 and 4 lines
 
 
 def test_single_lines_and_short_copies(spark, tmp_path):
