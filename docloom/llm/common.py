@@ -78,10 +78,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     """Inner join of ``rows`` with one row for each ``key`` in ``groups``, without a task that holds a hot group.
 
     Of groups with over ``HOT`` of ``total`` rows there are fewer than ``1 / HOT``, so these
-    are broadcast; the others are joined as the planner likes.
+    are broadcast; the others are joined as the planner likes. ``groups`` is best a saved table.
     """
     many = F.col(size) > max(1, int(total * HOT))
     hot = groups.where(many)
+    if hot.isEmpty():
+        return rows.join(groups, key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~many), key)
     return rows.join(F.broadcast(hot), key).select(others.columns).unionByName(others)
 

@@ -12,7 +12,7 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = save(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
     joined = attach_groups(both, least, "u", "n", 2 * total)
     out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -21,7 +21,9 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     else:
         own = least.where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(own)
-    return out.where("a <> b").distinct()
+    out = save(out.where("a <> b").distinct(), "edges")
+    forget(least)
+    return out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,6 +35,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if (n, mark) == seen or not n:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = (n, mark)
-        stepped = save(_star(_star(edges, n, large=True), n, large=False), "edges")
+        halfway = _star(edges, n, large=True)
         forget(edges)
-        edges = stepped
+        edges = _star(halfway, n, large=False)
+        forget(halfway)
