@@ -108,10 +108,18 @@ class _Zipped(_Plain):
                 break
 
 
+def _decoded(header: bytes) -> str:
+    """Headers are UTF-8; other archives may have Latin-1."""
+    try:
+        return header.decode("utf-8")
+    except UnicodeDecodeError:
+        return header.decode("latin-1")
+
+
 def _headers(source: _Plain) -> dict[str, str]:
     out: dict[str, str] = {}
     while line := source.line().strip():
-        name, _, value = line.decode("utf-8").partition(":")
+        name, _, value = _decoded(line).partition(":")
         out[name.strip().lower()] = value.strip()
     return out
 
@@ -139,7 +147,7 @@ def records(source: _Plain, wanted=lambda headers: True, payload: bool = True, v
                     read += len(line)
                     if not line.strip():
                         break
-                    name, _, value = line.decode("utf-8").partition(":")
+                    name, _, value = _decoded(line).partition(":")
                     http[name.strip().lower()] = value.strip()
             source.skip(size - read + 4)
             yield head, http, None
@@ -151,7 +159,7 @@ def records(source: _Plain, wanted=lambda headers: True, payload: bool = True, v
         http, body = {}, block
         if head.get("content-type", "").startswith("application/http"):
             top, _, body = block.partition(b"\r\n\r\n")
-            http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("utf-8").split("\r\n")[1:])}
+            http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in _decoded(top).split("\r\n")[1:])}
         if verify and full and (stated := head.get("warc-payload-digest")) and stated != digest(body):
             raise ValueError(f"{head.get('warc-record-id')}: the payload does not have the recorded digest")
         yield head, http, body if payload else None
@@ -307,20 +315,22 @@ def with_revisits(pages: DataFrame, page_id: str, payload: str, uri: str, at_lea
 
     Rows with a null id are responses; so are all rows that share the smallest id.
     """
-    from .common import attach_groups, save
+    from .common import BROADCAST_IDS, attach_groups, save
 
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     sums = save(pages.select(F.col(page_id).alias("id"), F.unhex(F.sha2(body, 256)).alias("sum"), F.octet_length(body).alias("bytes")), "payload-sums")
     many = sums.where(F.col("bytes") >= at_least)
     groups = save(many.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payload-groups")
-    again = attach_groups(many, groups, "sum", "n", sums.count()).where("id > first").select(F.col("id").alias(page_id), "sum", "first").distinct()
+    again = save(attach_groups(many, groups, "sum", "n", sums.count()).where("id > first").select("id", "sum", "first").distinct(), "revisits")
+    if again.count() <= BROADCAST_IDS:
+        again = F.broadcast(again)  # so that payloads stay where they are
     named = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    rows = pages.select(page_id, uri, body.alias("payload"), F.unhex(F.sha2(body, 256)).alias("sum")).join(again, [page_id, "sum"], "left")
+    rows = pages.select(F.col(page_id).alias("id"), F.col(uri).alias("uri"), body.alias("payload"), F.unhex(F.sha2(body, 256)).alias("sum")).join(again, ["id", "sum"], "left")
     seen = F.col("first").isNotNull()
     return rows.select(
-        named(F.coalesce(F.col(page_id).cast("string"), F.lit("none"))).alias("record_id"),
+        named(F.coalesce(F.col("id").cast("string"), F.lit("none"))).alias("record_id"),
         F.when(seen, "revisit").otherwise("response").alias("record_type"),
-        F.col(uri).alias("target_uri"),
+        F.col("uri").alias("target_uri"),
         F.lit("1970-01-01T00:00:00Z").alias("record_date"),
         F.when(seen, named(F.col("first"))).alias("refers_to"),
         F.lit(None).cast("string").alias("payload_digest"),
