@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 from .common import worker_cache
 
-#: Words whose hash a worker keeps, and the longest word kept.
-MAX_WORDS, MAX_WORD = 400_000, 64
-
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -31,22 +27,10 @@ def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-class _Known(dict):
-    """Word -> the first 64 bits of its BLAKE2b sum."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= MAX_WORD:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    known = worker_cache("words", _Known)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """The XXH3 hash of each word."""
+    worker_cache("words", dict)  # other operators' tables go
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
