@@ -26,15 +26,22 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out
 
 
+def _unfinished(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes that keep them from being stars: those linked to several lesser ones, or to a lesser and a greater one."""
+    one = F.lit(1)
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), one.alias("lower"), F.lit(0).alias("upper")), F.struct(F.col("b").alias("u"), F.lit(0).alias("lower"), one.alias("upper")))).alias("end"))
+    nodes = ends.groupBy("end.u").agg(F.sum("end.lower").alias("lower"), F.max("end.upper").alias("upper"))
+    n, open_ = nodes.agg(F.sum("lower"), F.count_if(F.col("lower") + F.col("upper") > 1)).first()
+    return n or 0, open_
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least member) for every node with a link to another; links are pairs of ids, in any order."""
     edges = save(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    seen = None
     while True:
-        n, mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if (n, mark) == seen or not n:
+        n, left = _unfinished(edges)
+        if not left:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = (n, mark)
         halfway = _star(edges, n, large=True)
         forget(edges)
         edges = _star(halfway, n, large=False)
