@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,12 +100,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``ids``; broadcast up to ``BROADCAST_IDS`` ids, shuffled beyond."""
-    gone = save(ids.toDF(name := fresh(docs, "gone")), "ids")
+def without_rows(docs: DataFrame, gone: DataFrame, names: list[Column]) -> DataFrame:
+    """``docs`` without the rows whose ``names`` (columns of ``docs``) are a row of ``gone``; broadcast up to ``BROADCAST_IDS`` rows, shuffled beyond.
+    A row with a null among its names stays."""
+    gone = save(gone.toDF(*(fresh(docs, f"gone{i}") for i in range(len(names)))), "gone")
+    same = [n == F.col(c) for n, c in zip(names, gone.columns, strict=True)]
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti").select(docs.columns)
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 #: Words of a Bloom filter that are broadcast at most (about 40 bytes each), and its bits for each key.

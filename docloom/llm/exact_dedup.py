@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, attach_groups, save, without_ids
+from .common import ascii_lower, attach_groups, save, without_rows
 
 #: Bits of the filter for each row; words that are broadcast at most (about 40 bytes each).
 BITS, BROADCAST_WORDS = 16, 1_000_000
@@ -56,5 +56,6 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one id for each text, the largest; all columns, and rows with a null id, as they are."""
-    return without_ids(docs, copies(docs, text, doc_id).where("NOT kept").select("doc_id"), doc_id)
+    """``docs`` with one id for each text, the largest; all columns. A row goes by its id and text, so that other texts of its id stay; rows with a null id stay."""
+    gone = copies(docs, text, doc_id).where("NOT kept").select("doc_id", "text_sha256")
+    return without_rows(docs, gone, [F.col(doc_id), F.sha2(ascii_lower(F.col(text)), 256)])

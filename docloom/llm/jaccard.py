@@ -16,15 +16,12 @@ all, by count, one common key still remains.  So keys of widely shared passages
 and documents that have only a passage in common don't meet at all.  Documents that share a key that
 is left are candidates.
 
-Copies with equal sets are one class.  In a group of candidates each class is first held against the
-least one; links make components.  Then, in groups that still hold several components, classes
-outside the least one's component are held against the others.  Classes already connected are never
-compared, so a large group of near copies costs one comparison for each member.  Before the exact
-check, pairs must pass the sizes' ratio and the Hamming distance of a folded sketch.
+How candidates become groups is in ``near``.  Before the exact check, pairs must pass the sizes' ratio and the
+Hamming distance of a folded sketch.
 
 Results for odd input: a null or blank text has an empty set and is linked with nothing;
-fewer words than ``shingle`` make one element; rows with the same id are one document of all
-their links; a null id gives a null component; an empty table gives no row; other
+fewer words than ``shingle`` make one element; rows that share an id but not a text are documents of their own;
+a null id takes part in nothing and gives a null component; an empty table gives no row; other
 columns are left out or, in :func:`one_of_each`, kept.
 """
 
@@ -35,15 +32,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import attach_groups, forget, possibly_in, save, tidy, without_ids
-from .components import components
+from . import near
+from .common import attach_groups, forget, possibly_in, save, tidy, without_rows
 from .words import mix, run_hashes, word_hashes
 
-#: Ids that are broadcast at most when texts are picked by id.
-BROADCAST_IDS = 1_000_000
-
 FOLDED = 8  # 64-bit words of the folded sketch
 
 
@@ -115,64 +109,36 @@ def _folded(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-
-
-def _sums(own: np.ndarray) -> tuple[int, int]:
+def set_sums(own: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     return int(mix(own).sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-_LONGS = pa.list_(pa.int64())
-_OFFERS = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int32()), ("keys", _LONGS)]))
+_OFFERS = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int32()), ("keys", near.LONGS)]))
 
 
-def _sketches(docs: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
+def _sketches(texts: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(t)
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
-                n, f1, f2, folded, offers = [], [], [], [], []
+                n, f1, f2, parity, offers = [], [], [], [], []
                 for x in b["text"].to_pylist():
                     own = elements(x, shingle)
                     n.append(len(own))
-                    for sums, s in zip((f1, f2), _sums(own), strict=True):
+                    for sums, s in zip((f1, f2), set_sums(own), strict=True):
                         sums.append(s)
-                    folded.append(_folded(own))
+                    parity.append(_folded(own))
                     offers.append([{"band": band, "spare": spare, "keys": k.view(np.int64)} for band, spare, k in keys(own, bands)] if len(own) else [])
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(folded, _LONGS), pa.array(offers, _OFFERS)], ["doc_id", "n", "f1", "f2", "folded", "offers"])
-
-    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, folded array<long>, offers array<struct<band: int, spare: int, keys: array<long>>>")
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["tie"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(parity, near.LONGS), pa.array(offers, _OFFERS)], ["doc_id", "tie", "n", "f1", "f2", "parity", "offers"])
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole sets."""
-    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    p, q = t.numerator, t.denominator
-    side = lambda s: sizes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("folded").alias(f"f{s}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p).where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p))
-    close = save(close.select("a", "b"), "pairs")
-    ids = save(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([elements(x, shingle).view(np.int64) for x in b["text"].to_pylist()], _LONGS)], ["doc_id", "e"])
-
-    sets = save(_texts(docs, doc_id, text).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, e array<long>"), "sets")
-    both = close.join(sets.select(F.col("doc_id").alias("a"), F.col("e").alias("ea")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("e").alias("eb")), "b")
-    common = F.size(F.array_intersect("ea", "eb")).cast("long")
-    out = save(both.where(common * q >= (F.size("ea") + F.size("eb") - common) * p).select("a", "b"), "links")
-    forget(close, sets)
-    return out
+    return texts.mapInArrow(run, "doc_id long, tie long, n long, f1 long, f2 long, parity array<long>, offers array<struct<band: int, spare: int, keys: array<long>>>")
 
 
 def _candidates(one: DataFrame) -> DataFrame:
     """key, id: the keys that documents are compared by (see the module's text)."""
-    emitted = one.select(F.col("doc_id").alias("id"), F.explode("offers").alias("o")).select("id", "o.band", "o.spare", F.explode("o.keys").alias("key"))
+    emitted = one.select(F.col("node").alias("id"), F.explode("offers").alias("o")).select("id", "o.band", "o.spare", F.explode("o.keys").alias("key"))
     n_keys = one.agg(F.sum(F.aggregate("offers", F.lit(0).cast("long"), lambda s, o: s + F.size(o["keys"])))).first()[0] or 0
     groups = save(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
     tidy(one.sparkSession)
@@ -185,64 +151,24 @@ def _candidates(one: DataFrame) -> DataFrame:
     return out
 
 
+def _groups(docs: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
+    texts = near.named_texts(docs, doc_id, text)
+    p, q = t.numerator, t.denominator
+
+    def test(a: Column, bits_a: list[Column], b: Column, bits_b: list[Column]) -> Column:
+        apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b, strict=True)), F.lit(0))
+        return apart * (p + q) <= (a + b) * (q - p)
+
+    return near.Groups(texts, _sketches(texts, shingle, t), _candidates, test, lambda raw: elements(raw, shingle), t, FOLDED).found()
+
+
 def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles and component_id, the least id that links of at least this Jaccard similarity lead to."""
-    spark = docs.sparkSession
-    all_rows = save(_sketches(docs, shingle, at_least, doc_id, text), "sketches")
-    total = all_rows.count()
-    filled = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    named_set = F.struct("n", "f1", "f2").alias("set")
-    classes = save(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("members")).where("members > 1").select(named_set, "class", "members"), "classes")
-    again = save(attach_groups(filled.select("doc_id", named_set), classes, "set", "members", total).where("doc_id > class").select("doc_id", "set", "class"), "copies")
-
-    one = filled.join(again.select("doc_id", F.col("set.n").alias("n"), F.col("set.f1").alias("f1"), F.col("set.f2").alias("f2")), ["doc_id", "n", "f1", "f2"], "left_anti")
-    shared = _candidates(one)
-    sizes = save(one.select("doc_id", "n", "folded"), "sizes")
-    n_shared = shared.count()
-    hubs = save(shared.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hubs")
-    shared = save(attach_groups(shared, hubs, "key", "members", n_shared).select("key", "id", "hub"), "grouped-keys")
-    all_rows, big = save(all_rows.select("doc_id", "n"), "set-sizes"), all_rows
-    several = save(filled.select("doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    forget(big, hubs)
-
-    stars = _verified(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, sizes, shingle, at_least, doc_id, text)
-    near = components(stars)
-    named = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    of = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
-    others = _across(save(shared.join(named("id"), "id", "left").select("key", "id", of("id").alias("c")), "placed"), sizes, at_least)
-    others = _verified(others, docs, sizes, shingle, at_least, doc_id, text)
-
-    # What is left links components of stars, so that the second graph is small.
-    copied = again.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    left = others.unionByName(copied.join(several.toDF("a"), "a", "left_semi"))
-    left = left.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a").alias("a"), of("b").alias("b"))
-    joined = components(left)
-    last = lambda c: F.coalesce(F.col("component"), F.col(c))
-    nodes = near.select("node", F.col("component").alias("c")).unionByName(joined.select("node", F.col("node").alias("c")).join(near.select("node"), "node", "left_anti"))
-    nodes = save(nodes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("node", last("c").alias("component")), "nodes")
-    copies = copied.groupBy("a").agg(F.min("b").alias("b")).join(nodes.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("node"), last("b").alias("component"))
-    found = save(copies.join(nodes.select("node"), "node", "left_anti").unionByName(nodes), "components")
-    tidy(spark)
-    return all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", last("doc_id").alias("component_id"))
-
-
-def _across(placed: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of different components (placed: key, id, c) that share a key and may be similar; one of each is outside the component of the key's least id."""
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("c", "id").alias("hub_c"), F.min("id").alias("hub")).where("c0 <> c1").select("key", "hub", "hub_c")
-    bits = [F.get("folded", F.lit(i)).alias(f"f{i}") for i in range(FOLDED)]
-    held = save(placed.join(mixed, "key").join(sizes.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), *bits), "id"), "mixed")
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "c", "size", *(f"f{i}" for i in range(FOLDED)))]
-    members = held.where("id <> hub").select(F.col("key").alias("y_key"), (F.col("c") != F.col("hub_c")).alias("y_out"), *side("y"))
-    outside = held.where("c <> hub_c").select("key", *side("x"))
-    # All conditions are the join's own, so that only pairs that may be similar become rows.
-    apart = sum((F.bit_count(F.col(f"x_f{i}").bitwiseXOR(F.col(f"y_f{i}"))) for i in range(FOLDED)), F.lit(0))
-    p, q = t.numerator, t.denominator
-    sized = (F.least("x_size", "y_size") * q >= F.greatest("x_size", "y_size") * p) & (apart * (p + q) <= (F.col("x_size") + F.col("y_size")) * (q - p))
-    other = (F.col("x_c") != F.col("y_c")) & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
-    return outside.join(members, (F.col("key") == F.col("y_key")) & other & sized).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+    return near.report(_groups(docs, shingle, at_least, doc_id, text))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of similar ones, that with the least id; all columns, and rows with a null id, as they are."""
-    found = similar(docs, shingle, at_least, doc_id, text)
-    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"), doc_id)
+    """``docs`` with one document of each group of similar ones, that with the least id (of one id: with the least hash of its text); all columns. Rows that
+    repeat that document, id and text, stay with it; so do rows with a null id."""
+    gone = near.others(_groups(docs, shingle, at_least, doc_id, text))
+    return without_rows(docs, gone, [F.col(doc_id).cast("long"), F.xxhash64(text)])
