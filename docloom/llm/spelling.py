@@ -3,14 +3,15 @@
 Words are near if one inserted, deleted or replaced code point makes them equal.  A word's grams are its pairs of
 neighbouring letters with their positions, ordered by how many words hold them, rarest first.
 
-* The *prefix* of a word is its three first grams in that order (and any gram equal to the third): one edit touches two
-  neighbouring grams at most, so three hold two that don't overlap.
-* Its *pivots* are two grams of the prefix that don't overlap and that the fewest words hold together, found by
-  dynamic programming over the prefix in order of position.
+* The *prefix* of a word is its three first grams in that order: one edit touches two neighbouring grams at most, so three
+  hold two that don't overlap.  To be looked up, a prefix holds the places of equal grams, too, ``PLACES`` of each at most.
+* Its *pivots* are two of the first three grams that don't overlap and that the fewest words hold together, found by
+  dynamic programming over them in order of position.
 
 One edit leaves one of the two pivots whole.  Of two near words, take the one whose prefix ends first (or either): the
 pivot of it that is left whole comes before the end of the other's prefix, so the other holds it there.  It moved by one
-place at most, and only in the direction in which the lengths differ.  So pivots, with length and position, are an index
+place at most, and only in the direction in which the lengths differ; at most two equal grams come before it in its own word, and
+one edit makes two more at most.  So pivots, with length and position, are an index
 that the prefixes of all words are joined against by equality; the edit distance is a condition of that join, so that
 only near words become rows.
 
@@ -39,6 +40,9 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
 
+#: Places of one gram in a prefix: an edit leaves a pivot among the first five of its gram.
+PLACES = 5
+
 #: Steps of one edit that a gram can take: difference of lengths (index less prefix) to differences of positions.
 MOVES = {0: (0,), 1: (0, 1), -1: (0, -1)}
 
@@ -49,6 +53,9 @@ def words(docs: DataFrame, least_length: int = 6, least_count: int = 5, change:
     ``change(doc_id)`` may give a function that each word of that document goes through first (such as a simulated slip of the pen).
     """
 
+    if least_length < 4:
+        raise ValueError("pivots need words of at least four code points")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, held = re.compile(f"[{LETTERS}]+"), Counter()
 
@@ -90,10 +97,18 @@ def pivots(prefix: list[tuple[int, int]], weight: Callable[[int], int]) -> list[
     return two[-1][1]
 
 
-def prefix(word: str, place: dict[str, int]) -> list[tuple[int, int]]:
-    """The first three grams of a word (place in the order of rarity, position), and any equal to the third."""
+def prefix(word: str, place: dict[str, int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The first three grams of a word (place in the order of rarity, position), and those with further places of the same grams."""
     grams = sorted((place[word[i : i + 2]], i) for i in range(len(word) - 1))
-    return [g for g in grams if g[0] <= grams[min(2, len(grams) - 1)][0]]
+    first, seen = grams[:3], Counter()
+    wider = []
+    for gram, at in grams:
+        if gram > first[-1][0]:
+            break
+        seen[gram] += 1
+        if seen[gram] <= PLACES:
+            wider.append((gram, at))
+    return first, wider
 
 
 _GRAMS = pa.list_(pa.struct([("gram", pa.int32()), ("at", pa.int32())]))
@@ -111,8 +126,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         for b in batches:
             starts = [prefix(w, place) for w in b["word"].to_pylist()]
             as_rows = lambda grams: [{"gram": g, "at": at} for g, at in grams]
-            chosen = [as_rows(pivots(p, weights.__getitem__)) for p in starts]
-            arrays = [b["word"], b["n"], pa.array([p[-1][0] for p in starts], pa.int32()), pa.array(chosen, _GRAMS), pa.array(map(as_rows, starts), _GRAMS)]
+            chosen = [as_rows(pivots(first, weights.__getitem__)) for first, _ in starts]
+            arrays = [b["word"], b["n"], pa.array([first[-1][0] for first, _ in starts], pa.int32()), pa.array(chosen, _GRAMS), pa.array([as_rows(wider) for _, wider in starts], _GRAMS)]
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n", "last", "pivots", "prefix"])
 
     signed = save(vocabulary.select("word", "n").mapInArrow(sign, f"word string, n long, last int, pivots {_GRAMS_SQL}, prefix {_GRAMS_SQL}"), "grams")
@@ -122,7 +137,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     probe = probe.select("r", "rn", "r_last", (F.length("r") + F.col("move.size")).alias("size"), "g.gram", (F.col("g.at") + F.col("move.at")).alias("at"))
     keys = ["gram", "size", "at"]
     same_key = [F.col(f"i.{k}") == F.col(f"p.{k}") for k in keys]
-    found = index.alias("i").join(probe.alias("p"), [*same_key, F.col("s_last") <= F.col("r_last"), F.levenshtein("s", "r", 1) == 1])
+    found = index.alias("i").join(probe.alias("p"), [*same_key, F.col("s_last") <= F.col("r_last"), F.col("s") != F.col("r"), F.levenshtein("s", "r", 1) == 1])
     pairs = found.select("s", "sn", "r", "rn").distinct()
     both = pairs.select(F.col("s").alias("word"), F.col("sn").alias("n"), F.col("r").alias("near"), F.col("rn").alias("near_n"))
     return both.unionByName(both.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))).distinct()
