@@ -1,4 +1,4 @@
-"""References to norms, held against a registry; dictionary entities in texts."""
+"""References to norms, held against a registry."""
 
 from __future__ import annotations
 
@@ -21,18 +21,3 @@ def check(texts: DataFrame, registry: DataFrame) -> DataFrame:
     near = rest.join(entries, F.startswith("key", cut("rk")) | F.startswith("rk", cut("key"))).groupBy("n", "pos").agg(F.min_by("rk", "ord").alias("edition"))
     out = found.join(exact, ["n", "pos"], "left").join(near, ["n", "pos"], "left")
     return out.select("n", "pos", "ref", F.when(F.col("edition").isNotNull(), "edition_mismatch").otherwise(F.coalesce("state", F.lit("unknown"))).alias("outcome"))
-
-
-def match_terms(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """n, code of dictionary aliases (alias, code) found as whole words in texts (n, text); a span inside a longer alias's span does not count."""
-    w = r"[\p{L}\p{N}_]"
-    low = texts.select("n", F.lower(T.text("text")).alias("t"))
-    a = F.broadcast(aliases.select(F.lower("alias").alias("alias"), "code").distinct())  # a dictionary
-    rx = F.concat(F.lit(rf"(?<!{w})\Q"), F.col("alias"), F.lit(rf"\E(?!{w})"))
-    hit = low.join(a, F.contains("t", "alias")).where(F.regexp_like("t", rx))
-    pieces = F.split("t", rx)  # starts follow from the lengths of what lies between
-    starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * F.length("alias"))
-    spans = hit.where(F.size(pieces) > 1).select("n", "code", "alias", F.explode(starts).alias("s")).withColumn("e", F.col("s") + F.length("alias"))
-    outer = spans.select("n", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    kept = spans.join(outer, (spans["n"] == outer["n"]) & (F.col("s2") <= F.col("s")) & (F.col("e2") >= F.col("e")) & (F.col("e2") - F.col("s2") > F.col("e") - F.col("s")), "left_anti")
-    return kept.select("n", "code").distinct()

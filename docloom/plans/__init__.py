@@ -1,6 +1,6 @@
 """The registered queries of the engine's own operators, and their SQL."""
 
-from . import documents, flows, graphs, registers, search, texts, volumes  # noqa: F401
+from . import documents, entities, flows, graphs, registers, search, texts, volumes  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph as GR, memory as M, normatives as N
+from ..operators import entities as EN, graph as GR, memory as M, normatives as N
 from .registry import Literal, query, table
 from .texts import _REF_LIST, REFERENCES, REFERENCES_SQL, T, reference_key_sql
 
@@ -110,7 +110,7 @@ _W = r"[^\p{L}\p{N}_]"
  m AS (SELECT n, code, s, s + length(alias) AS e FROM p JOIN {TERMS.sql} a ON substr(t, s, length(alias)) = alias AND (s = 1 OR regexp_matches(substr(t, s - 1, 1), '{_W}')) AND (s + length(alias) > length(t) OR regexp_matches(substr(t, s + length(alias), 1), '{_W}')))
  SELECT DISTINCT n, code FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.n = a.n AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s)""")
 def entity_dictionary_match(spark: SparkSession, sf: str) -> DataFrame:
-    return N.match_terms(TERM_TEXTS.df(spark), TERMS.df(spark))
+    return EN.match_terms(TERM_TEXTS.df(spark), TERMS.df(spark))
 
 
 @query("SELECT user_id::VARCHAR AS number, arg_max(event_type, {'t': ts, 'i': event_id}) AS status, arg_max(event_id, {'t': ts, 'i': event_id})::VARCHAR AS user_answer FROM events GROUP BY user_id")

@@ -29,18 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Literal:
-    """A small table that is written out: ``columns`` is a Spark schema, ``rows`` tuples of plain values."""
+    """Rows that are written out and, with ``more``, rows of a given table below them.
 
-    def __init__(self, columns: str, rows: list[tuple]):
-        self.columns, self.rows = columns, rows
+    ``columns`` is a Spark schema, ``rows`` tuples of plain values, ``more`` a SELECT that Spark and DuckDB read alike, from
+    the table ``source``; its columns come in the same order.
+    """
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.columns)
+    def __init__(self, columns: str, rows: list[tuple], more: str | None = None, source: str = "documents"):
+        self.columns, self.rows, self.more, self.source = columns, rows, more, source
+
+    @property
+    def _names(self) -> list[str]:
+        return [c.split()[0] for c in self.columns.split(", ")]
+
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        own = spark.createDataFrame(self.rows, self.columns)
+        if not self.more:
+            return own
+        given = spark.sql(self.more.replace(f"FROM {self.source}", f"FROM {{{self.source}}}"), **{self.source: table(spark, sf_dir, self.source)})
+        return own.union(given.to(own.schema) if given.columns == own.columns else given.toDF(*own.columns))
 
     @property
     def sql(self) -> str:
         """A parenthesised SELECT with the same rows."""
-        names = [c.split()[0] for c in self.columns.split(", ")]
+        names = self._names
         kinds = [{"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]"}[c.split()[1]] for c in self.columns.split(", ")]
 
         def value(x) -> str:
@@ -52,4 +64,8 @@ class Literal:
 
         body = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in self.rows)
         cast = ", ".join(f"{n}::{k} AS {n}" for n, k in zip(names, kinds, strict=True))
-        return f"(SELECT {cast} FROM (VALUES {body}) AS v({', '.join(names)}))"
+        written = f"SELECT {cast} FROM (VALUES {body}) AS v({', '.join(names)})"
+        if not self.more:
+            return f"({written})"
+        given = f"SELECT {cast} FROM ({self.more}) AS m({', '.join(names)})"
+        return f"({written} UNION ALL {given})"

@@ -238,6 +238,10 @@ _QTY = T.QUANTITY.replace("(?iu)", "(?i)")
 QTY_SQL = f"list_sort(list_distinct(list_transform(list_zip(regexp_extract_all(coalesce(text, ''), '{_QTY}', 1), regexp_extract_all(coalesce(text, ''), '{_QTY}', 2)), lambda q: lower(q[1] || ' ' || q[2]))))"
 
 
+#: A quantity as one group; "%" is left out, which counts only before a word.
+QUANTITY_SQL = r"(?i)(\d+[.,]?\d*\s*(?:г/с|т/год|мг/м3|мг/м³|мкг/м3|дБА|дБ|ПДК|м3/сут|м³/сут|м3|м³|га|км|кВт|л/с|кг|т))(?:$|[^\p{L}\p{N}_])"
+
+
 @query(f"SELECT n, array_to_string({QTY_SQL}, '|') AS quantities FROM {QUANTITIES.sql}")
 def quantity_extract(spark: SparkSession, sf: str) -> DataFrame:
     return QUANTITIES.df(spark).select("n", F.array_join(T.quantities("text"), "|").alias("quantities"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph as GR, normatives as N, volumes as O
+from ..operators import entities as EN, graph as GR, volumes as O
 from .graphs import _W, EDGES, PRESENT, TERM_TEXTS, TERMS
 from .registry import Literal, query
 
@@ -68,7 +68,7 @@ def edge_presence(spark: SparkSession, sf: str) -> DataFrame:
  m AS (SELECT n, code, s, s + length(alias) AS e FROM p JOIN {TERMS.sql} a ON substr(t, s, length(alias)) = alias AND (s = 1 OR regexp_matches(substr(t, s - 1, 1), '{_W}')) AND (s + length(alias) > length(t) OR regexp_matches(substr(t, s + length(alias), 1), '{_W}')))
  SELECT code, count(DISTINCT n) AS n_answers FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.n = a.n AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s) GROUP BY code""")
 def emission_substances(spark: SparkSession, sf: str) -> DataFrame:
-    found = N.match_terms(TERM_TEXTS.df(spark), TERMS.df(spark))
+    found = EN.match_terms(TERM_TEXTS.df(spark), TERMS.df(spark))
     return found.groupBy("code").agg(F.countDistinct("n").alias("n_answers"))
 
 
