@@ -38,12 +38,12 @@ _CURRENT = f"""(SELECT file, section, rank, date, base, section || '::' || base
 
 @query(f"SELECT * FROM {_CURRENT}")
 def version_current(spark: SparkSession, sf: str) -> DataFrame:
-    return D.current_versions(versions(spark))
+    return D.current_versions(versions(spark, sf))
 
 
 @query(f"SELECT section, file, date, label, lag(label) OVER w AS previous, row_number() OVER w::INT AS place FROM {_CURRENT} WINDOW w AS (PARTITION BY section ORDER BY coalesce(date, ''), file)".replace("OVER w::INT", "OVER w"))
 def version_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return D.timeline(D.current_versions(versions(spark))).withColumn("place", F.col("place").cast("long"))
+    return D.timeline(D.current_versions(versions(spark, sf))).withColumn("place", F.col("place").cast("long"))
 
 
 # Section codes, their numbers, and words that give them away in a file's name.
@@ -63,8 +63,8 @@ KEYWORDS = [
 LINEAR_SIGNALS = ["ппо", "полос отвод", "линейн", "трасс", "км ", "трубопровод", "газопровод", "нефтепровод", "автомобильн дорог", "лэп", "ткр"]
 
 KEYS, NUMBERS = Literal("code string, kind string, word string", KEYWORDS), Literal("code string, num string", [x[:2] for x in AREAL])
-REQUIRED, SURVEY, EXTRAS = Literal("code string, is_source boolean", [(c, s) for c, _, s in AREAL]), Literal("code string, is_source boolean", SURVEYS), Literal("target string, code string", EXTRA_SOURCES)
-FILES = Literal("file string", [(f,) for f in ("П-1-ПОС1.pdf", "Раздел ПД №8_ООС.pdf", "Раздел 5.4.2 чертежи.pdf", "охрана окружающей среды том 6.pdf", "смета.xlsx", "readme.txt", "ПЗ пояснительная записка.docx", "Трасса газопровода ППО.pdf")])
+REQUIRED, SURVEY, EXTRAS = Literal("code string, is_source boolean", [(c, s) for c, _, s in AREAL]), Literal("code string, is_source boolean", SURVEYS, more="SELECT n_name AS code, n_regionkey < 2 AS is_source FROM nation", source="nation"), Literal("target string, code string", EXTRA_SOURCES, more="SELECT CASE WHEN n_regionkey = 0 THEN 'IEI' ELSE 'OOS' END AS target, n_name AS code FROM nation", source="nation")
+FILES = Literal("file string", [(f,) for f in ("П-1-ПОС1.pdf", "Раздел ПД №8_ООС.pdf", "Раздел 5.4.2 чертежи.pdf", "охрана окружающей среды том 6.pdf", "смета.xlsx", "readme.txt", "ПЗ пояснительная записка.docx", "Трасса газопровода ППО.pdf")], more="SELECT concat('Раздел ПД №', CAST(1 + doc_id % 12 AS STRING), '_', source, '_', CAST(doc_id AS STRING), CASE doc_id % 6 WHEN 0 THEN ' оос' WHEN 1 THEN ' смета' WHEN 2 THEN ' охрана окружающей среды' WHEN 3 THEN ' трасса' ELSE '' END, '.pdf') AS file FROM documents")
 _NORM = r"regexp_replace(lower(coalesce(file, '')), '[._\-]+', ' ', 'g')"
 
 CLASSIFIED = rf"""(WITH n AS (SELECT file, {_NORM} AS norm, regexp_extract_all({_NORM}, '[а-яёa-z0-9]+') AS t, nullif(regexp_extract(lower(file), '(?:под)?раздел[аы]?\s*(?:пд\s*)?(?:№|no|n)?\s*(\d+(?:\.\d+)*)', 1), '') AS num FROM {FILES.sql}),
@@ -78,37 +78,37 @@ CLASSIFIED = rf"""(WITH n AS (SELECT file, {_NORM} AS norm, regexp_extract_all({
 
 @query(f"SELECT * FROM {CLASSIFIED}")
 def section_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return D.classify(FILES.df(spark), KEYS.df(spark), NUMBERS.df(spark))
+    return D.classify(FILES.df(spark, sf), KEYS.df(spark, sf), NUMBERS.df(spark, sf))
 
 
 @query(f"SELECT CASE WHEN {' + '.join(f"max(contains(lower(file), '{s}')::INT)" for s in LINEAR_SIGNALS)} >= 2 THEN 'линейный' ELSE 'площадной' END AS object_type FROM {FILES.sql}")
 def object_type(spark: SparkSession, sf: str) -> DataFrame:
-    return D.object_type(FILES.df(spark), LINEAR_SIGNALS)
+    return D.object_type(FILES.df(spark, sf), LINEAR_SIGNALS)
 
 
 OVERRIDES = Literal("file string, override string", [("readme.txt", "PB"), ("смета.xlsx", "UNKNOWN")])
 _INVENTORY = f"(SELECT f.file, coalesce(nullif(o.override, 'UNKNOWN'), c.code, 'UNKNOWN') AS section FROM {FILES.sql} f LEFT JOIN (SELECT * FROM {CLASSIFIED} WHERE rank = 1) c USING (file) LEFT JOIN {OVERRIDES.sql} o USING (file))"
 
 
-def inventory(spark: SparkSession) -> DataFrame:
-    files = FILES.df(spark)
-    best = D.classify(files, KEYS.df(spark), NUMBERS.df(spark), top=1).select("file", F.col("code").alias("section"))
-    return D.with_overrides(files.join(best, "file", "left"), OVERRIDES.df(spark))
+def inventory(spark: SparkSession, sf: str) -> DataFrame:
+    files = FILES.df(spark, sf)
+    best = D.classify(files, KEYS.df(spark, sf), NUMBERS.df(spark, sf), top=1).select("file", F.col("code").alias("section"))
+    return D.with_overrides(files.join(best, "file", "left"), OVERRIDES.df(spark, sf))
 
 
 @query(f"SELECT * FROM {_INVENTORY}")
 def inventory_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory(spark)
+    return inventory(spark, sf)
 
 
 @query(f"SELECT coalesce(r.code, p.code) AS code, coalesce(n, 0) AS n_files, coalesce(names, '') AS names, CASE WHEN n IS NULL THEN 'missing' WHEN r.code IS NULL THEN 'extra' ELSE 'present' END AS status FROM {REQUIRED.sql} r FULL JOIN (SELECT section AS code, count(*) AS n, string_agg(file, '|' ORDER BY file) AS names FROM {_INVENTORY} WHERE section <> 'UNKNOWN' GROUP BY section) p ON p.code = r.code")
 def section_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return D.overview(inventory(spark), REQUIRED.df(spark)).withColumn("n_files", F.col("n_files").cast("long"))
+    return D.overview(inventory(spark, sf), REQUIRED.df(spark, sf)).withColumn("n_files", F.col("n_files").cast("long"))
 
 
 @query(f"SELECT DISTINCT code FROM (SELECT code FROM {REQUIRED.sql} WHERE is_source UNION ALL SELECT code FROM {SURVEY.sql} WHERE is_source UNION ALL SELECT code FROM {EXTRAS.sql} WHERE target = 'IEI' UNION ALL SELECT 'IEI') WHERE code IN (SELECT code FROM {REQUIRED.sql} UNION ALL SELECT code FROM {SURVEY.sql})")
 def source_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return D.source_sections(REQUIRED.df(spark), SURVEY.df(spark), EXTRAS.df(spark), "IEI")
+    return D.source_sections(REQUIRED.df(spark, sf), SURVEY.df(spark, sf), EXTRAS.df(spark, sf), "IEI")
 
 
 @query("SELECT count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages")

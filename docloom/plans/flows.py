@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrow as A, text as T, vectors as V
 from ..operators import chunks as C, rows as RO
-from ..streaming import jobs as J
+from ..operators.tables import shared_folder
+from ..streaming import indexing as X, jobs as J
 from .registry import Literal, query, table
+from .texts import FINGERPRINT
 
 
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,31 +34,31 @@ def content_signature(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.text("text"), 256).alias("sha256"), A.simhash_udf()("text").alias("simhash"), A.minhash_udf()("text").alias("minhash"), F.length(T.text("text")).alias("n_chars"))
 
 
-SKETCHES = Literal("n int, a long, b long", [(1, 0, 0), (2, 255, 255), (3, -1, 0), (4, 1234567890123, 1234567890124)])
+SKETCHES = Literal("n int, a long, b long", [(1, 0, 0), (2, 255, 255), (3, -1, 0), (4, 1234567890123, 1234567890124)], more="SELECT CAST(doc_id + 100 AS INT) AS n, doc_id * 2654435761 AS a, n_chars * 40503 AS b FROM documents")
 
 
 @query(f"SELECT n, bit_count(xor(a, b))::INT AS distance, CASE WHEN a = 0 AND b = 0 THEN 0e0 ELSE 1 - bit_count(xor(a, b))::DOUBLE / 64 END AS similarity FROM {SKETCHES.sql}")
 def simhash_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return SKETCHES.df(spark).select("n", V.hamming(F.col("a"), F.col("b")).alias("distance"), V.simhash_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    return SKETCHES.df(spark, sf).select("n", V.hamming(F.col("a"), F.col("b")).alias("distance"), V.simhash_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-SETS = Literal("n int, a array<string>, b array<string>", [(1, ["x", "y"], ["y", "z"]), (2, [], ["x"]), (3, [], []), (4, ["q"], ["q"])])
+SETS = Literal("n int, a array<string>, b array<string>", [(1, ["x", "y"], ["y", "z"]), (2, [], ["x"]), (3, [], []), (4, ["q"], ["q"])], more="SELECT CAST(doc_id + 100 AS INT) AS n, split(coalesce(text, ''), ' ') AS a, split(concat(lang, ' ', reverse(coalesce(text, ''))), ' ') AS b FROM documents")
 
 
 @query(f"SELECT n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0e0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM {SETS.sql}")
 def jaccard_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return SETS.df(spark).select("n", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return SETS.df(spark, sf).select("n", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-NUMBERED = Literal("n int, text string", [(1, "1. Первое замечание тома\nпродолжение\n2) Второе замечание тома\n17\n3. Третье замечание тома"), (2, "1\nПервое замечание\n2\nВторое замечание\n7\nконец"), (3, "без номеров"), (4, None)])
+NUMBERED = Literal("n int, text string", [(1, "1. Первое замечание тома\nпродолжение\n2) Второе замечание тома\n17\n3. Третье замечание тома"), (2, "1\nПервое замечание\n2\nВторое замечание\n7\nконец"), (3, "без номеров"), (4, None)], more="SELECT CAST(doc_id + 100 AS INT) AS n, concat('1. ', coalesce(text, ''), chr(10), '2. Второе замечание ', source) AS text FROM documents")
 
 
 @query()
 def numbered_remarks(spark: SparkSession, sf: str) -> DataFrame:
-    return NUMBERED.df(spark).select("n", F.explode(A.split_numbered_udf()("text")).alias("r")).select("n", "r.number", "r.text")
+    return NUMBERED.df(spark, sf).select("n", F.explode(A.split_numbered_udf()("text")).alias("r")).select("n", "r.number", "r.text")
 
 
-ROWS = Literal("t int, pos int, cells array<string>", [(1, 1, ["№ п/п", "Текст замечания"]), (1, 2, ["1", "Уточнить площадь застройки"]), (1, 3, ["", ""]), (1, 4, ["2", "кратко"]), (1, 5, [None, "Приложить договор на вывоз"]), (2, 1, ["Замечание без номера, длинный текст"]), (2, 2, ["Ещё одно длинное предложение"])])
+ROWS = Literal("t int, pos int, cells array<string>", [(1, 1, ["№ п/п", "Текст замечания"]), (1, 2, ["1", "Уточнить площадь застройки"]), (1, 3, ["", ""]), (1, 4, ["2", "кратко"]), (1, 5, [None, "Приложить договор на вывоз"]), (2, 1, ["Замечание без номера, длинный текст"]), (2, 2, ["Ещё одно длинное предложение"])], more="SELECT CAST(10 + doc_id % 40 AS INT) AS t, CAST(doc_id + 100 AS INT) AS pos, split(concat(CAST(doc_id AS STRING), '~', source, '~', coalesce(text, '')), '~') AS cells FROM documents")
 _HINTS = " OR ".join(f"contains(j, '{h}')" for h in RO.HEADER_HINTS)
 
 
@@ -63,15 +67,15 @@ _HINTS = " OR ".join(f"contains(j, '{h}')" for h in RO.HEADER_HINTS)
  c AS (SELECT t, ci, sum(length(coalesce(cells[ci], ''))) AS n FROM (SELECT t, cells, unnest(generate_series(1, len(cells))) AS ci FROM b) GROUP BY t, ci), k AS (SELECT t, arg_max(ci, {{'n': n, 'a': -ci}}) AS ci FROM c GROUP BY t)
  SELECT t, CASE WHEN ci <> 1 AND trim(coalesce(cells[1], '')) <> '' AND length(trim(cells[1])) <= 12 THEN trim(cells[1]) ELSE r::VARCHAR END AS number, trim(coalesce(cells[ci], '')) AS text FROM b JOIN k USING (t) WHERE length(trim(coalesce(cells[ci], ''))) >= 8""")
 def remarks_from_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return RO.remarks(ROWS.df(spark))
+    return RO.remarks(ROWS.df(spark, sf))
 
 
-REPLIES = Literal("n int, text string", [(1, "```json\n{\"a\": 1,}\n```"), (2, "Ответ: {'a': [1, 2]} конец"), (3, "нет"), (4, None), (5, "{\"s\": \"}\"} хвост")])
+REPLIES = Literal("n int, text string", [(1, "```json\n{\"a\": 1,}\n```"), (2, "Ответ: {'a': [1, 2]} конец"), (3, "нет"), (4, None), (5, "{\"s\": \"}\"} хвост")], more="SELECT CAST(doc_id + 100 AS INT) AS n, concat('Reply: {\"id\": ', CAST(doc_id AS STRING), ', \"lang\": \"', lang, '\",} end ', coalesce(text, '')) AS text FROM documents")
 
 
 @query()
 def tolerant_json(spark: SparkSession, sf: str) -> DataFrame:
-    return REPLIES.df(spark).select("n", A.tolerant_json_udf()("text").alias("json"))
+    return REPLIES.df(spark, sf).select("n", A.tolerant_json_udf()("text").alias("json"))
 
 
 @query()
@@ -105,3 +109,30 @@ def progress_summary(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     status = F.when(F.col("doc_id") % 5 == 0, "error").when(F.col("doc_id") % 5 == 1, "skipped").when(F.col("doc_id") % 5 == 2, "running").otherwise("done")
     return J.progress(d.select(status.alias("status"), F.col("n_chars").alias("chunks")))
+
+
+_BATCH = """SELECT b.file, b.raw_sha, t, fp, lines, coalesce(o.owner, min(b.file) OVER (PARTITION BY b.raw_sha)) AS first FROM ({files}) b LEFT JOIN (SELECT raw_sha, min(file) AS owner FROM ({done}) GROUP BY raw_sha) o ON o.raw_sha = b.raw_sha"""
+_OUTCOME = """SELECT file, raw_sha, fp, CASE WHEN e IS NOT NULL THEN 'error' WHEN first <> file OR again THEN 'skipped' ELSE 'done' END AS status, CASE WHEN e IS NULL AND first = file AND NOT again THEN lines ELSE 0 END AS chunks,
+ CASE WHEN e IS NOT NULL THEN e WHEN first <> file THEN 'дубликат файла (' || first || ')' WHEN again THEN 'дубликат (sha256)' END AS reason FROM (
+ SELECT *, CASE WHEN t = '' THEN 'нет текста' END AS e, first = file AND (fp IN (SELECT fp FROM ({done})) OR file <> min(file) FILTER (first = file AND t <> '') OVER (PARTITION BY fp)) AS again FROM ({batch}))"""
+
+
+def _batch_sql(files: str, done: str) -> str:
+    return _OUTCOME.format(done=done, batch=_BATCH.format(files=files, done=done))
+
+
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS file, lang, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS raw_sha, {FINGERPRINT} AS fp, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS lines FROM documents),
+ none AS (SELECT NULL::VARCHAR AS file, NULL::VARCHAR AS raw_sha, NULL::VARCHAR AS fp WHERE false),
+ a AS ({_batch_sql("SELECT * FROM d WHERE lang IN ('en', 'de')", 'SELECT * FROM none')}),
+ b AS ({_batch_sql("SELECT * FROM d WHERE file NOT IN (SELECT file FROM a WHERE status <> 'error')", "SELECT * FROM a WHERE status = 'done'")})
+ SELECT file, status, raw_sha, chunks::BIGINT AS chunks, reason, batch FROM (SELECT *, 0::BIGINT AS batch FROM a WHERE status <> 'error' UNION ALL SELECT *, 1 FROM b)""")
+def file_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest after two batches of documents as files: two languages, then all."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "lang")
+    text = F.col("content").cast("string")
+    parse = lambda df: df.select("file", text.alias("text"), F.when(text == "", "нет текста").alias("error"))
+    cut = lambda df: df.select("file", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("chunk_index", "text"))
+    X.ingest(files.where(F.col("lang").isin("en", "de")).drop("lang"), 0, folder, parse, cut)
+    X.ingest(files.drop("lang"), 1, folder, parse, cut)
+    return X.manifest(spark, folder).select("file", "status", "raw_sha", "chunks", "reason", "batch")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +47,7 @@ class Literal:
         if not self.more:
             return own
         given = spark.sql(self.more.replace(f"FROM {self.source}", f"FROM {{{self.source}}}"), **{self.source: table(spark, sf_dir, self.source)})
-        return own.union(given.to(own.schema) if given.columns == own.columns else given.toDF(*own.columns))
+        return own.union(given.select(*(F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(given.columns, own.schema, strict=True))))
 
     @property
     def sql(self) -> str:

@@ -69,13 +69,14 @@ def cosine_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 LISTS = Literal(
     "query_id long, list int, is_dense boolean, weight double, rank int, id long",
     [(1, 1, False, 1.0, 1, 10), (1, 1, False, 1.0, 2, 11), (1, 2, True, 1.0, 1, 11), (1, 2, True, 1.0, 2, 12), (1, 3, True, 1.0, 1, 12), (1, 3, True, 1.0, 2, 10), (2, 1, False, 10.0, 3, 7), (2, 2, True, 1.0, 1, 8), (2, 2, True, 1.0, 2, 7)],
+    more="SELECT 10 + doc_id % 200 AS query_id, CAST(doc_id % 3 AS INT) AS list, doc_id % 3 > 0 AS is_dense, CAST(2 AS DOUBLE) AS weight, CAST(1 + n_chars % 50 AS INT) AS rank, n_chars % 90 AS id FROM documents",
 )
 RRF = "rrf AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (SELECT query_id, id, round(coalesce(sum(CASE WHEN NOT is_dense THEN weight / (60 + rank) END), 0) + coalesce(avg(CASE WHEN is_dense THEN weight / (60 + rank) END), 0), 9) AS score FROM lists GROUP BY query_id, id))"
 
 
 @query(f"WITH lists AS {LISTS.sql}, {RRF} SELECT * FROM rrf")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rrf(LISTS.df(spark))
+    return R.rrf(LISTS.df(spark, sf))
 
 
 #: A document's embedding is the vector with its number in the vector table; a query's is that of its item number.
