@@ -32,15 +32,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import near
 from .common import attach_groups, forget, possibly_in, save, tidy, without_rows
 from .words import mix, run_hashes, word_hashes
 
-FOLDED = 8  # 64-bit words of the folded sketch
-
-
 def elements(raw: bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word runs, A-Z in lower case."""
     words = (raw or b"").lower().split()
@@ -103,12 +100,6 @@ def keys(own: np.ndarray, bands: Bands) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _folded(own: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of 64 * FOLDED bits."""
-    odd = np.bincount((mix(own) >> np.uint64(64 - 6 - FOLDED.bit_length() + 1)).astype(np.int64), minlength=64 * FOLDED) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def set_sums(own: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     return int(mix(own).sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
@@ -129,7 +120,7 @@ def _sketches(texts: DataFrame, shingle: int, t: Fraction) -> DataFrame:
                     n.append(len(own))
                     for sums, s in zip((f1, f2), set_sums(own), strict=True):
                         sums.append(s)
-                    parity.append(_folded(own))
+                    parity.append(near.folded(own))
                     offers.append([{"band": band, "spare": spare, "keys": k.view(np.int64)} for band, spare, k in keys(own, bands)] if len(own) else [])
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["tie"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(parity, near.LONGS), pa.array(offers, _OFFERS)], ["doc_id", "tie", "n", "f1", "f2", "parity", "offers"])
 
@@ -153,13 +144,8 @@ def _candidates(one: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str) -> DataFrame:
     texts = near.named_texts(docs, doc_id, text)
-    p, q = t.numerator, t.denominator
-
-    def test(a: Column, bits_a: list[Column], b: Column, bits_b: list[Column]) -> Column:
-        apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b, strict=True)), F.lit(0))
-        return apart * (p + q) <= (a + b) * (q - p)
-
-    return near.Groups(texts, _sketches(texts, shingle, t), _candidates, test, lambda raw: elements(raw, shingle), t, FOLDED).found()
+    test = lambda a, bits_a, b, bits_b: near.close_enough(a, bits_a, b, bits_b, t)
+    return near.Groups(texts, _sketches(texts, shingle, t), _candidates, test, lambda raw: elements(raw, shingle), t, near.FOLDED).found()
 
 
 def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,8 @@ The samples are folded to an odd sketch, too: each sample and its number are has
 holds the parity of its hits.  Where two sets agree in a sample, the two hits cancel out; the m samples in which they differ
 leave 2m hits, so the XOR's population count c estimates m as -(N / 4) ln(1 - 2c / N) for N bits; that is the more precise, the fewer samples
 differ.  Candidates go on to the exact comparison of their whole sets unless the estimate is further off than a pair of the asked
-similarity is in all but ``MISSED`` cases: c is at most 2m, and m is binomial.
+similarity is in all but ``MISSED`` cases: c is at most 2m, and m is binomial.  So many samples can't tell 0.8 from 0.85, so what is left is held
+against a parity bitmap of the sets' own elements, too, which never turns a similar pair away (``near.close_enough``).
 
 How candidates become groups is in ``near``: every link is confirmed on the whole sets, and classes of equal sets need no samples.
 
@@ -100,7 +101,7 @@ def _sketches(texts: DataFrame, shingle: int, rows: int) -> DataFrame:
                         sums.append(s)
                     if len(own):
                         sample = samples(own)
-                        parity.append(odd_sketch(sample))
+                        parity.append(np.concatenate([odd_sketch(sample), near.folded(own)]))
                         keys.append(band_keys(sample, rows).view(np.int64))
                     else:
                         parity.append([])
@@ -127,9 +128,9 @@ def _groups(docs: DataFrame, shingle: int, t: Fraction, doc_id: str, text: str)
     texts, most = near.named_texts(docs, doc_id, text), most_apart(t)
 
     def test(a: Column, bits_a: list[Column], b: Column, bits_b: list[Column]) -> Column:
-        return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b, strict=True)), F.lit(0)) <= most
+        return (near.bits_apart(bits_a[:WORDS], bits_b[:WORDS]) <= most) & near.close_enough(a, bits_a[WORDS:], b, bits_b[WORDS:], t)
 
-    return near.Groups(texts, _sketches(texts, shingle, rows_of(t)), _candidates, test, lambda raw: elements(raw, shingle), t, WORDS).found()
+    return near.Groups(texts, _sketches(texts, shingle, rows_of(t)), _candidates, test, lambda raw: elements(raw, shingle), t, WORDS + near.FOLDED).found()
 
 
 def similar(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import HOT, attach_groups, forget, save, tidy
 from .components import components
+from .words import mix
 
 #: Names that are broadcast at most when texts are picked; pairs of one hub, or nodes outside a hub's component, in one part.
 BROADCAST_NAMES, PART = 1_000_000, 4096
@@ -34,10 +35,30 @@ NAME = ["doc_id", "tie"]
 
 LONGS = pa.list_(pa.int64())
 
+#: 64-bit words of a set's own parity bitmap.
+FOLDED = 32
+
 #: (size, parity sketch as a list of longs) of both sides -> whether two sets may be similar.
 Test = Callable[[Column, list[Column], Column, list[Column]], Column]
 
 
+def folded(own: np.ndarray) -> np.ndarray:
+    """Parity of a set's elements in each of 64 * FOLDED bits."""
+    odd = np.bincount((mix(own) % np.uint64(64 * FOLDED)).astype(np.int64), minlength=64 * FOLDED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def bits_apart(a: list[Column], b: list[Column]) -> Column:
+    """Population count of the XOR of two bitmaps, as columns of longs."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def close_enough(a: Column, bits_a: list[Column], b: Column, bits_b: list[Column], t: Fraction) -> Column:
+    """Whether sets of sizes a and b may have this similarity: two that do differ in at most (a + b)(1 - t)/(1 + t) elements, and their bitmaps in no more bits."""
+    p, q = t.numerator, t.denominator
+    return bits_apart(bits_a, bits_b) * (p + q) <= (a + b) * (q - p)
+
+
 def named_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
 
