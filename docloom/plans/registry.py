@@ -46,7 +46,7 @@ class Literal:
         own = spark.createDataFrame(self.rows, self.columns)
         if not self.more:
             return own
-        given = spark.sql(self.more.replace(f"FROM {self.source}", f"FROM {{{self.source}}}"), **{self.source: table(spark, sf_dir, self.source)})
+        given = spark.sql(self.more.replace("{", "{{").replace("}", "}}").replace(f"FROM {self.source}", f"FROM {{{self.source}}}"), **{self.source: table(spark, sf_dir, self.source)})
         return own.union(given.select(*(F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(given.columns, own.schema, strict=True))))
 
     @property
