@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .tables import numbered
 
 PROPOSED, ACCEPTED, EDITED, REJECTED = "proposed", "accepted", "edited", "rejected"
 
@@ -42,8 +43,9 @@ def merge(remarks: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
     keep_old = F.col("new").isNull() | F.coalesce(F.col("old.status").isin(ACCEPTED, EDITED), F.lit(False))
     one = both.select("number", F.when(keep_old, F.col("old")).otherwise(F.col("new")).alias("a"), F.when(keep_old, "stored").otherwise("fresh").alias("origin"))
     placed = one.join(remarks.select("number", "pos"), "number", "left")
-    order = Window.orderBy(F.col("pos").asc_nulls_last(), *natural_order())  # a project's answers
-    return placed.select("number", "a.answer", "a.status", "origin", F.row_number().over(order).alias("place"))
+    out = placed.select("number", "a.answer", "a.status", "origin", "pos")
+    order = [F.col("pos").asc_nulls_last(), *natural_order(), "origin", "answer", "status"]
+    return numbered(out, order).select("number", "answer", "status", "origin", F.col("place").cast("int").alias("place"))
 
 
 def gaps(answers: DataFrame) -> DataFrame:
@@ -80,8 +82,8 @@ def review_stats(answers: DataFrame) -> DataFrame:
 
 def to_export(answers: DataFrame) -> DataFrame:
     """Accepted and edited answers; all that are not rejected if there are none."""
-    some = F.max(F.col("status").isin(ACCEPTED, EDITED)).over(Window.partitionBy())
-    return answers.withColumn("_some", some).where(F.when(F.col("_some"), F.col("status").isin(ACCEPTED, EDITED)).otherwise(F.col("status") != REJECTED)).drop("_some")
+    reviewed = answers.where(F.col("status").isin(ACCEPTED, EDITED))
+    return answers.where(F.col("status") != REJECTED) if reviewed.isEmpty() else reviewed
 
 
 def answer_rows(answers: DataFrame) -> DataFrame:

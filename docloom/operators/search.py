@@ -1,7 +1,7 @@
 """Retrieval: BM25, exact dense search, rank fusion, neighbour expansion, reranking.
 
 Statistics cover the whole corpus; section filters act on candidates afterwards.
-Query-side tables are broadcast only below ``SMALL`` rows, which is counted first.
+Query-side tables are sent to tasks in blocks of ``SMALL`` rows at most.
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from .tables import saved
 
-#: Rows that are broadcast at most; vectors in a shard of dense search.
-SMALL, SHARD_ROWS = 200_000, 8192
+#: Rows that are broadcast at most; vectors in a shard of dense search; documents that are scored at once.
+SMALL, SHARD_ROWS, SCORED_ROWS = 200_000, 8192, 500
 
 # Fixed values of the BM25 formula, and of rank fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -26,25 +30,6 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
-    """id, dl, term, tf of each term of each document; of ``terms`` only if given, which are picked before anything is shuffled."""
-    d = docs.select(F.col(doc_id).alias("id"), tokens(text).alias("t"))
-    each = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if terms is not None:
-        each = each.join(terms, "term", "left_semi")
-    return each.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def frequencies(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
-    """term, df: in how many documents each term occurs, counted where the documents are before one row a term is shuffled."""
-    return docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-
-
-def corpus(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
-    """One row: n documents, avgdl."""
-    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
-
-
 def term_stats(df: DataFrame, totals: DataFrame) -> DataFrame:
     """term, df, idf of terms with their frequencies; negative idf becomes ``EPSILON`` times the average of all raw ones."""
     raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # totals: one row
@@ -52,21 +37,92 @@ def term_stats(df: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query: str = "text", doc_id: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
+def vocabulary(docs: DataFrame, text: str = "text", tokens: Callable[[str], Column] = T.search_tokens) -> DataFrame:
+    """term, df, length: of each term, and under the null term the number of documents and of all their tokens; one pass, counted before it is shuffled."""
+    t = docs.select(tokens(text).alias("t"))
+    each = t.select(F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length"))
+
+
+def _scorer(asked: list, query_type: pa.DataType, k: int, avgdl: float):
+    """Scores batches of documents (id, part, t) for the queries of ``asked`` (query_id, part, term, qtf, idf); the ``k`` best of each batch for each query go on.
+    A query with a part is for documents of that part only."""
+    terms = sorted({r.term for r in asked})
+    at = {t: i for i, t in enumerate(terms)}
+    names = sorted({r.query_id for r in asked}, key=str)
+    query = {q: i for i, q in enumerate(names)}
+    rows = sorted((at[r.term], query[r.query_id], float(r.qtf), r.idf) for r in asked)
+    own_term, own_query, qtf, own_idf = (np.array(c) for c in zip(*rows, strict=True))
+    wanted = {r.query_id: r.part for r in asked}
+    parts = {p: i for i, p in enumerate(sorted({p for p in wanted.values() if p is not None}))}
+    own_part = np.array([parts.get(wanted[q], -1) for q in names])
+    first = np.searchsorted(own_term, np.arange(len(terms) + 1))
+    idf = own_idf[first[:-1]]
+
+    def best(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column("t")
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(dl)), dl)[code >= 0]
+        pair, tf = np.unique(doc * len(terms) + code[code >= 0], return_counts=True)
+        doc, term = pair // len(terms), pair % len(terms)
+        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+        times = first[term + 1] - first[term]
+        place = np.repeat(first[term], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        doc, gain = np.repeat(doc, times), np.repeat(gain, times)
+        if parts:
+            lies = pc.fill_null(pc.index_in(b.column("part"), value_set=pa.array([*parts], pa.string())), -2).to_numpy(zero_copy_only=False)
+            fits = (own_part[own_query[place]] == -1) | (own_part[own_query[place]] == lies[doc])
+            doc, gain, place = doc[fits], gain[fits], place[fits]
+        key, back = np.unique(doc * len(names) + own_query[place], return_inverse=True)
+        score = np.round(np.bincount(back, gain * qtf[place], len(key)), 6)
+        key, score = key[score > 0], score[score > 0]
+        doc, asker = key // len(names), key % len(names)
+        order = np.lexsort((b.column("id").to_numpy(zero_copy_only=False)[doc], -score, asker))
+        asker, doc, score = asker[order], doc[order], score[order]
+        rank = np.arange(len(asker)) - np.searchsorted(asker, asker)
+        keep = rank < k
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in asker[keep]], query_type), b.column("id").take(pa.array(doc[keep])), pa.array(score[keep], pa.float64())], ["query_id", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, SCORED_ROWS):
+                yield best(b.slice(start, SCORED_ROWS))
+
+    return run
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query: str = "text", doc_id: str = "doc_id", text: str = "text", where: Column | None = None, within: tuple[str, str] | None = None) -> DataFrame:
     """query_id, id, score, rank of the ``k`` best documents with a positive score.
 
-    ``where`` filters documents as candidates; the statistics stay those of all documents.
+    ``where`` filters documents as candidates; ``within`` names a column of the queries and one of the documents (strings) that must agree, for queries that have
+    a value there.  The statistics stay those of all documents.  Documents are scored where they are read, for blocks of
+    queries with at most ``SMALL`` terms, and only the best of each batch are shuffled; one pass before that counts terms.
+    Null ids are no documents or queries.
     """
-    totals = corpus(docs, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.search_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.select("term").distinct()
-    n_asked = asked.count()  # at least as many as there are terms
-    terms = small(terms, n_asked)
-    stats = small(term_stats(frequencies(docs, text), totals).join(terms, "term", "left_semi"), n_asked)
-    found = postings(docs if where is None else docs.where(where), terms, doc_id, text).join(stats, "term").crossJoin(F.broadcast(totals))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.withColumn("gain", gain).join(small(asked, n_asked), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("gain")), 6).alias("score"))
-    return ranked(scored.where("score > 0"), k)
+    counted = saved(vocabulary(docs, text), "vocabulary")
+    totals = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    total = totals.first()
+    kinds = dict(queries.select(F.col(query_id).alias("query_id")).dtypes)["query_id"], dict(docs.select(F.col(doc_id).alias("id")).dtypes)["id"]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    if total is None:
+        return ranked(docs.sparkSession.createDataFrame([], schema), k)
+    part = lambda at: F.lit(None).cast("string") if within is None else F.col(within[at]).cast("string")
+    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), part(0).alias("part"), F.explode(T.search_tokens(query)).alias("term")).groupBy("query_id", "part", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = saved(asked.join(term_stats(counted.where("term IS NOT NULL").select("term", "df"), totals), "term").select("query_id", "part", "term", "qtf", "idf"), "asked")
+    blocks = -(-asked.count() // SMALL)
+    candidates = F.col(doc_id).isNotNull() if where is None else F.col(doc_id).isNotNull() & where
+    query_type = to_arrow_type(asked.schema["query_id"].dataType)
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if rows:
+            parts = {r.part for r in rows}
+            own = candidates if None in parts else candidates & part(1).isin(*parts)  # so that the scan reads the asked parts only
+            held = docs.where(own).select(F.col(doc_id).alias("id"), part(1).alias("part"), T.search_tokens(text).alias("t"))
+            best = held.mapInArrow(_scorer(rows, query_type, k, total.avgdl), schema)
+            found = best if found is None else found.unionByName(best)
+    return ranked(docs.sparkSession.createDataFrame([], schema) if found is None else found, k)
 
 
 def ranked(scored: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrow as A, text as T, vectors as V
-from ..operators import chunks as C, rows as RO
+from ..operators import cache as CA, chunks as C, rows as RO, settings as SE
 from ..operators.tables import shared_folder
 from ..streaming import indexing as X, jobs as J
 from .registry import Literal, query, table
@@ -136,3 +136,26 @@ def file_index(spark: SparkSession, sf: str) -> DataFrame:
     X.ingest(files.where(F.col("lang").isin("en", "de")).drop("lang"), 0, folder, parse, cut)
     X.ingest(files.drop("lang"), 1, folder, parse, cut)
     return X.manifest(spark, folder).select("file", "status", "raw_sha", "chunks", "reason", "batch")
+
+
+@query("""WITH d AS (SELECT source || '-' || n_chars % 97 AS key, doc_id AS value, CASE WHEN lang = 'en' THEN 0 ELSE 1000000000 END + doc_id AS seq FROM documents),
+ l AS (SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM d GROUP BY key)
+ SELECT key, value, seq FROM (SELECT *, row_number() OVER (ORDER BY seq DESC, key DESC) AS n FROM l) WHERE n <= 300""")
+def cache_fifo(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache of 300 entries after two batches of documents; entries that are put in again go to the end of the line."""
+    en = F.col("lang") == "en"
+    rows = table(spark, sf, "documents").select(F.concat("source", F.lit("-"), (F.col("n_chars") % 97).cast("string")).alias("key"), F.col("doc_id").alias("value"), (F.when(en, 0).otherwise(1_000_000_000) + F.col("doc_id")).alias("seq"), en.alias("first"))
+    first = CA.put(rows.limit(0).select("key", "value", "seq"), rows.where("first").select("key", "value", "seq"))
+    return CA.evict(CA.put(first, rows.where("NOT first").select("key", "value", "seq")), 300)
+
+
+_LAYERS = "SELECT concat('user', CAST(user_id AS STRING)) AS name, event_id AS ord, concat('{\"', event_type, '\": ', props, CASE WHEN event_type = 'click' THEN ', \"click\": ' ELSE ', \"last\": ' END, CAST(event_id AS STRING), ', \"in\": {\"', event_type, '\": [', CAST(event_id % 5 AS STRING), ']}}') AS json FROM events WHERE event_type <> 'click' OR props IS NULL"
+
+
+@query("""WITH e AS (SELECT 'user' || user_id AS name, event_type AS k, arg_max(replace(props, ' ', ''), event_id) AS props, arg_max(event_id % 5, event_id) AS five, max(event_id) AS last FROM events WHERE event_type <> 'click' OR props IS NULL GROUP BY ALL),
+ f AS (SELECT name, k, '"' || k || '":' || props AS pair FROM e UNION ALL SELECT name, 'last', '"last":' || max(last) FROM e GROUP BY name UNION ALL SELECT name, 'in', '"in":{' || string_agg('"' || k || '":[' || five || ']', ',' ORDER BY k) || '}' FROM e GROUP BY name)
+ SELECT name, '{' || string_agg(pair, ',' ORDER BY k) || '}' AS json FROM f GROUP BY name""")
+def settings_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The properties of each user's events as layers of settings."""
+    layers = spark.sql(_LAYERS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+    return SE.rebuilt(SE.merged(SE.flattened(layers)))

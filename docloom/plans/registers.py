@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import registers as G
-from .registry import SQL, Literal, query, table
+from .registry import Literal, query, table
 from .texts import QTY_SQL, QUANTITIES, kind_sql, squeeze, strip
 
 ANSWERS = Literal(
@@ -143,19 +143,11 @@ def chapter_match(spark: SparkSession, sf: str) -> DataFrame:
     return G.best_chapter(EDITS.df(spark, sf), CHAPTERS.df(spark, sf))
 
 
-@query("""WITH a AS (SELECT doc_id, lang, source, left(text, 60) AS s, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE trim(text) <> ''),
+@query("""WITH a AS (SELECT doc_id, lang, source, sha256(text) AS s, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE trim(text) <> ''),
  p AS (SELECT x.lang, x.doc_id, x.s AS positive, y.s AS negative, row_number() OVER (PARTITION BY x.doc_id ORDER BY (y.i - x.i + x.n) % x.n) AS k FROM a x JOIN a y ON x.lang = y.lang AND x.s <> y.s AND x.source <> y.source)
  SELECT lang AS project, doc_id AS pos, doc_id::VARCHAR AS anchor, positive, negative FROM p WHERE k = 1""")
 def hard_negative_triples(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import evaluation as E
-
-    d = table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("remark"), F.left("text", F.lit(60)).alias("snippet"), F.col("source").alias("file"))
-    return E.triples(d)
-
-
-@query(SQL["hard_negative_triples"].replace("left(text, 60)", "sha256(text)"))
-def hard_negative_triples_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts, each named by its hash, where hard_negative_triples compares their starts."""
+    """Whole texts, each named by its hash, as snippets."""
     from ..operators import evaluation as E
 
     d = table(spark, sf, "documents").where(F.trim("text") != "")

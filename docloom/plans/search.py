@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import search as R
-from .registry import SQL, Literal, query, table
+from ..operators.tables import saved
+from .registry import Literal, query, table
+from .texts import _REF_LIST, REFERENCES_SQL, reference_key_sql
 
-TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_\-]+')"
+#: Words, and each normative code as one more token.
+_CODES = f"list_transform(list_filter(list_transform([{_REF_LIST}], lambda l: {REFERENCES_SQL})[1], lambda r: true), lambda r: regexp_replace({reference_key_sql('r')}, '[-/]+$', ''))"
+TOK = rf"list_concat(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_\-]+'), CASE WHEN regexp_matches(coalesce(text, ''), '\d') THEN {_CODES} ELSE [] END)"
 
 BM25 = rf"""toks AS (SELECT doc_id AS id, lang, {TOK} AS t FROM documents),
  post AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM toks) GROUP BY id, len(t), term),
@@ -39,12 +43,32 @@ def bm25_section_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql(1)} SELECT (SELECT n FROM tot) AS n, round((SELECT avgdl FROM tot), 6) AS avgdl, count(*) AS vocabulary, round(avg(idf), 6) AS mean_idf, max(df) AS max_df FROM stats")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    totals = R.corpus(docs)
-    s = R.term_stats(R.frequencies(docs), totals).agg(F.count(F.lit(1)).alias("vocabulary"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.max("df").alias("max_df"))
+    counted = saved(R.vocabulary(table(spark, sf, "documents")), "vocabulary")
+    totals = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    s = R.term_stats(counted.where("term IS NOT NULL").select("term", "df"), totals).agg(F.count(F.lit(1)).alias("vocabulary"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.max("df").alias("max_df"))
     return totals.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(s)
 
 
+_TARGETS = "SELECT item_id AS query_id, text, concat('src', CAST(item_id % 7 AS STRING)) AS target FROM {t}"
+
+
+@query(f"WITH {bm25_sql(1, "WHERE (query_id, id) IN (SELECT q.query_id, d.doc_id FROM (" + _TARGETS.replace("{t}", "benchmark") + ") q JOIN documents d ON d.source = q.target)")} SELECT query_id, id AS volume, score FROM bm25")
+def target_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """The best document for each passage in the one source that it asks for."""
+    asked = spark.sql(_TARGETS, t=table(spark, sf, "benchmark"))
+    return R.bm25(asked, table(spark, sf, "documents"), 1, within=("target", "source")).select("query_id", F.col("id").alias("volume"), "score")
+
+
+_CODED = "SELECT {id}, concat(coalesce(text, ''), ' по СП ', CAST(30 + {id} % 40 AS STRING), '.13330.2016 и ГОСТ Р ', CAST(56000 + {id} % 300 AS STRING), '-2014.') AS text FROM {name}"
+
+
+@query("WITH " + bm25_sql(8).replace("FROM documents", f"FROM (SELECT *, NULL AS lang FROM ({_CODED.format(id='doc_id', name='documents')}))").replace("FROM benchmark", f"FROM ({_CODED.format(id='item_id', name='benchmark')})") + " SELECT query_id, id, score, rank FROM bm25")
+def bm25_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages and documents that name norms, whose codes are tokens."""
+    coded = lambda key, name: spark.sql(_CODED.format(id=key, name="{t}"), t=table(spark, sf, name))
+    return R.bm25(coded("item_id", "benchmark").withColumnRenamed("item_id", "query_id"), coded("doc_id", "documents"), 8)
+
+
 DENSE = """vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
  pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))), 6) AS score FROM vec q JOIN vec d ON q.vec_id <> d.vec_id {where} WHERE q.vec_id % 50 = 0),
  dense AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs) WHERE rank <= 5)"""
@@ -96,15 +120,15 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.rrf(lexical.unionByName(near), top=10)
 
 
-CHUNKS = "chunks AS (SELECT doc_id AS id, source AS file, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_index, contains(text, ' | ') OR contains(text, '###') AS is_table, left(text, 40) AS text FROM documents)"
+CHUNKS = "chunks AS (SELECT doc_id AS id, source AS file, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_index, contains(text, ' | ') OR contains(text, '###') AS is_table, text FROM documents)"
 RUNS = "runs AS (SELECT *, CASE WHEN is_table THEN (chunk_index - row_number() OVER (PARTITION BY file, is_table ORDER BY chunk_index))::INT END AS run FROM chunks)"
 
 
-def chunks_of(spark: SparkSession, sf: str, width: int | None = 40) -> DataFrame:
+def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     at = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), (F.row_number().over(at) - 1).alias("chunk_index"), (F.col("text").contains(" | ") | F.col("text").contains("###")).alias("is_table"), (F.col("text") if width is None else F.left("text", F.lit(width))).alias("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), (F.row_number().over(at) - 1).alias("chunk_index"), (F.col("text").contains(" | ") | F.col("text").contains("###")).alias("is_table"), "text")
 
 
 @query(f"WITH {CHUNKS}, {RUNS} SELECT file, run, min(chunk_index) AS first_chunk, count(*) AS n FROM runs WHERE run IS NOT NULL GROUP BY file, run")
@@ -119,18 +143,12 @@ def table_runs(spark: SparkSession, sf: str) -> DataFrame:
  first AS (SELECT * EXCLUDE c FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank) AS c FROM near) WHERE c = 1),
  kept AS (SELECT * FROM first UNION ALL SELECT query_id, rank, hit, hit FROM a WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = a.query_id AND f.hit = a.hit))
  SELECT query_id, rank, hit AS id, string_agg(c.text, chr(10) || '…' || chr(10) ORDER BY c.chunk_index) AS text, string_agg(c.id::VARCHAR, ',' ORDER BY c.chunk_index) AS expanded_from FROM kept JOIN chunks c ON c.id = kept.id GROUP BY query_id, rank, hit""")
-def neighbor_expand(spark: SparkSession, sf: str, width: int | None = 40) -> DataFrame:
+def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
     hits = R.bm25(queries_of(spark, sf), table(spark, sf, "documents"), 6)
-    out = R.neighbours(hits, chunks_of(spark, sf, width))
+    out = R.neighbours(hits, chunks_of(spark, sf))
     return out.withColumn("expanded_from", F.array_join(F.transform("expanded_from", lambda x: x.cast("string")), ","))
 
 
-@query(SQL["neighbor_expand"].replace("left(text, 40) AS text", "text"))
-def neighbor_expand_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts, where neighbor_expand takes their starts."""
-    return neighbor_expand(spark, sf, None)
-
-
 @query()
 def near_duplicate_pool(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -151,13 +169,6 @@ def rerank_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return R.rerank(pairs, 4, R.token_overlap).select("query_id", "id", "rerank_score", "rank")
 
 
-@query(f"""WITH {bm25_sql(3)} SELECT query_id, string_agg('[' || rank || '] ' || source || ', ' || lang || chr(10) || left(d.text, 100), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM bm25 b JOIN documents d ON d.doc_id = b.id GROUP BY query_id""")
-def answer_context(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    hits = R.bm25(queries_of(spark, sf), docs, 3).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("lang").alias("loc"), "text"), "id")
-    return R.context(hits, 3, 100)
-
-
 #: The place that a hit's text is cut around: the passage itself if it is there, or its first word of 4 letters or more that is.
 _MATCH = r"coalesce(list_filter(list_concat([q.text], string_split_regex(q.text, '\s+')), lambda w: length(w) > 3 AND contains(d.text, w))[1], '')"
 
@@ -165,7 +176,7 @@ _MATCH = r"coalesce(list_filter(list_concat([q.text], string_split_regex(q.text,
 @query(rf"""WITH {bm25_sql(8)}, h AS (SELECT query_id, rank, source, lang, d.text AS t, length(d.text) AS n, greatest(0, greatest(strpos(d.text, {_MATCH}) - 1, 0) - 1000) AS s FROM bm25 b JOIN documents d ON d.doc_id = b.id JOIN benchmark q ON q.item_id = b.query_id),
  c AS (SELECT query_id, rank, source, lang, CASE WHEN n <= 3000 THEN t ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 3000) || CASE WHEN s + 3000 < n THEN '…' ELSE '' END END AS part FROM h)
  SELECT query_id, string_agg('[' || rank || '] ' || source || ', ' || lang || chr(10) || part, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM c GROUP BY query_id""")
-def answer_context_whole(spark: SparkSession, sf: str) -> DataFrame:
+def answer_context(spark: SparkSession, sf: str) -> DataFrame:
     """Eight hits of 3000 characters around the match, as the operator and the reference have them."""
     docs, asked = table(spark, sf, "documents"), queries_of(spark, sf)
     hits = R.bm25(asked, docs, 8).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("lang").alias("loc"), "text"), "id")

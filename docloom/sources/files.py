@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrow import decode_bytes, html_text, xml_text
 
@@ -143,20 +143,36 @@ def member_name(name: str, utf8: bool) -> str:
     return name.replace("\\", "/").strip("/").replace("/", "__")
 
 
-def unpacked(archives: DataFrame) -> DataFrame:
-    """archive, path (flat name), extension, content of the supported members of zip archives (path, content)."""
+def unpacked(archives: DataFrame, largest: int = LARGEST_MEMBER) -> DataFrame:
+    """archive, path (flat name), extension, content, error of the supported members of zip archives (path, content).
+
+    A member of more than ``largest`` bytes when unpacked (a guard against bombs), one that can't be read, and an archive that is broken give a row with
+    the error and no content.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lambda *values: pd.DataFrame([values], columns=["archive", "path", "extension", "content", "error"])
+        told = lambda error: f"{type(error).__name__}: {error}"[:300]
         for b in batches:
             for path, raw in zip(b.path, b.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-                    for m in z.infolist():
-                        name = member_name(m.filename, bool(m.flag_bits & 0x800))
-                        extension = name.rpartition(".")[2].lower()
-                        if not m.is_dir() and not m.filename.startswith("__MACOSX") and m.file_size <= LARGEST_MEMBER and extension in SUPPORTED:
-                            yield pd.DataFrame({"archive": [path], "path": [name], "extension": [extension], "content": [z.read(m)]})
-
-    return archives.select("path", "content").mapInPandas(run, "archive string, path string, extension string, content binary")
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(raw or b""))) as z:
+                        for m in z.infolist():
+                            name = member_name(m.filename, bool(m.flag_bits & 0x800))
+                            extension = name.rpartition(".")[2].lower()
+                            if m.is_dir() or m.filename.startswith("__MACOSX") or extension not in SUPPORTED:
+                                continue
+                            if m.file_size > largest:
+                                yield row(path, name, extension, None, f"{m.file_size} bytes, more than {largest}")
+                                continue
+                            try:
+                                yield row(path, name, extension, z.read(m), None)
+                            except Exception as error:  # noqa: BLE001  a broken member is reported, not fatal
+                                yield row(path, name, extension, None, told(error))
+                except Exception as error:  # noqa: BLE001  as is a broken archive
+                    yield row(path, None, None, None, told(error))
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, extension string, content binary, error string")
 
 
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -169,8 +185,8 @@ def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def last_wins(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """One row for each key: the last in order, as an overlay's entries override the base's."""
-    latest = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    last = rows.groupBy(F.col(key).alias("key")).agg(F.max_by(F.struct("*"), order).alias("row"))
+    return last.select("row.*")
 
 
 def tail(lines: DataFrame, n: int, order: str = "offset") -> DataFrame:

@@ -32,14 +32,34 @@ def test_bm25_counts_normative_codes(spark):
     queries = spark.createDataFrame([(1, "СП 47.13330.2016")], "query_id long, text string")
     got = {r.id: r.score for r in R.bm25(queries, docs, 9).collect()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 2e-6 for d in want)
-    assert {r.term for r in R.frequencies(docs).collect()} == df.keys() and abs(R.corpus(docs).first().avgdl - avgdl) < 1e-9
+    counted = {r.term: r for r in R.vocabulary(docs).collect()}
+    total = counted.pop(None)
+    assert {t: r.df for t, r in counted.items()} == df and (total.df, total.length) == (n, round(avgdl * n))
+
+
+def test_bm25_in_blocks_and_on_odd_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 30))), f"s{i % 3}") for i in range(200)] + [(None, "w1 w2 w3", "s1"), (300, None, "s1"), (301, "w1 " * 50_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(f"w{rng.randint(0, 62)}" for _ in range(5)), f"s{i % 4}" if i % 2 else None) for i in range(12)] + [(None, "w1", None), ("none", None, None)], "query_id string, text string, target string")
+    whole = lambda **x: sorted(map(tuple, R.bm25(queries, docs, 4, **x).collect()))
+    one, own = whole(), whole(within=("target", "part"))
+    monkeypatch.setattr(R, "SMALL", 7)
+    monkeypatch.setattr(R, "SCORED_ROWS", 11)
+    assert whole() == one and whole(within=("target", "part")) == own and len(one) > 30
+    part = {i: p for i, _, p in rows}
+    target = {r.query_id: r.target for r in queries.collect()}
+    assert all(target[q] is None or part[d] == target[q] for q, d, _, _ in own) and "q3" not in {q for q, *_ in own}
+    assert R.bm25(queries, docs.limit(0), 4).count() == R.bm25(queries.limit(0), docs, 4).count() == 0
 
 
 def test_expansion_keeps_whole_texts(spark, tmp_path):
     texts = [f"начало {i} " + "слово " * 30 + f"конец{i}" for i in range(3)]
     spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "конец1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    found = QUERIES["neighbor_expand_whole"](spark, str(tmp_path)).first()
+    found = QUERIES["neighbor_expand"](spark, str(tmp_path)).first()
     assert found.text == "\n…\n".join(texts) and found.expanded_from == "0,1,2"
 
 
@@ -54,7 +74,7 @@ def test_context_query_reaches_the_eighth_hit(spark, tmp_path):
     rows = [(i, "а " * 4000 + "итого " * (9 - i) + "я " * 4000, "f", "ru") for i in range(8)] + [(i, "пусто", "f", "ru") for i in range(8, 30)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "итого")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    found = QUERIES["answer_context_whole"](spark, str(tmp_path)).first()
+    found = QUERIES["answer_context"](spark, str(tmp_path)).first()
     assert found.n_sources == 8 and all("итого" in part and len(part) < 3100 for part in found.context.split("\n\n"))
 
 
@@ -62,7 +82,7 @@ def test_negatives_may_share_an_opening(spark, tmp_path):
     texts = {1: "о" * 60 + "один", 2: "о" * 60 + "два", 3: "о" * 60 + "один"}
     spark.createDataFrame([(d, t, "ru", f"f{d}") for d, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     sha = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
-    found = {r.pos: (r.positive, r.negative) for r in QUERIES["hard_negative_triples_whole"](spark, str(tmp_path)).collect()}
+    found = {r.pos: (r.positive, r.negative) for r in QUERIES["hard_negative_triples"](spark, str(tmp_path)).collect()}
     assert found == {1: (sha[1], sha[2]), 2: (sha[2], sha[3]), 3: (sha[3], sha[2])}
 
 
