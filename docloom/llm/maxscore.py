@@ -39,12 +39,12 @@ LARGEST = (1 << 63) - 1
 START = 64
 
 
-def whole_components(vector: str, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component x as double; null where the vector takes no part."""
+def finite_components(vector: str) -> Column:
+    """The components as doubles; null where the vector takes no part."""
     c = F.col(vector)
     x = lambda v: v.cast("double")
     bad = F.exists(c, lambda v: v.isNull() | F.isnan(x(v)) | (F.abs(x(v)) == float("inf")))
-    return F.when(c.isNotNull() & ~bad, F.transform(c, lambda v: F.floor(x(v) * F.lit(float(scale)))))
+    return F.when(c.isNotNull() & ~bad, F.transform(c, x))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -82,11 +82,21 @@ def search_shard(ids: np.ndarray, postings: np.ndarray, own: int, query: np.ndar
     return all_ids[keep], all_scores[keep]
 
 
-def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
+def whole_components(rows: pd.Series, dims: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of every component, with zeros up to ``dims``: as longs, or as Python integers where a double beyond 2**53 is among them."""
+    out = np.zeros((len(rows), dims))
     for i, x in enumerate(rows):
         out[i, : len(x)] = x
-    return out
+    if np.abs(out).max(initial=0) * scale < 1 << 53:
+        return np.floor(out * scale).astype(np.int64)
+    return np.array([[int(x) * scale if abs(x) >= 1 << 53 else int(np.floor(x * scale)) for x in row] for row in out.tolist()], object)
+
+
+def in_order(score: int) -> bytes:
+    """Bytes that sort like whole numbers of any size: those below zero first, then by length, then by value."""
+    raw = abs(score).to_bytes(-(-abs(score).bit_length() // 8), "big")
+    out = len(raw).to_bytes(2, "big") + raw
+    return b"\1" + out if score >= 0 else b"\0" + bytes(255 - x for x in out)
 
 
 def _exact(postings: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +108,7 @@ def _exact(postings: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best other rows for each row where ``queries`` holds."""
-    clean = save(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_components(vector, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    clean = save(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), finite_components(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL AND v IS NOT NULL"), "vectors")
     rows, asked = clean.count(), clean.where("asks").count()
     held_rows = min(MOST_ROWS, max(SHARD_ROWS, rows // (2 * partitions(vectors.sparkSession))))
     shards, blocks = max(1, -(-rows // held_rows)), max(1, -(-asked // QUERY_ROWS))
@@ -112,10 +122,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_i
         if len(vectors) and len(queries):
             dims = max(1, *map(len, vectors.v), *map(len, queries.q))
             ids = vectors.vec_id.to_numpy()
-            postings, asked = _exact(np.ascontiguousarray(_matrix(vectors.v, dims).T), _matrix(queries.q, dims))
+            postings, asked = _exact(np.ascontiguousarray(whole_components(vectors.v, dims, scale).T), whole_components(queries.q, dims, scale))
             for own, q in zip(queries.query_id.tolist(), asked, strict=True):
                 found, scores = search_shard(ids, postings, own, q, k)
-                out += [(own, int(i), min(max(int(s), -LARGEST - 1), LARGEST), (int(s) + (1 << 159)).to_bytes(20, "big")) for i, s in zip(found, scores, strict=True)]
+                out += [(own, int(i), min(max(int(s), -LARGEST - 1), LARGEST), in_order(int(s))) for i, s in zip(found, scores, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "whole"])
 
     found = held.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long, whole binary")

@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("train", dict)  # other operators' tables go
         rows = pa.Table.from_batches([*batches], schema=_COUNTS).sort_by([("doc_id", "ascending"), ("label", "ascending")])
@@ -153,8 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
         model = train(counted, rows["label"].to_pylist())
         yield pa.RecordBatch.from_pydict({"logits": pa.array([model.logits.tobytes()], pa.binary()), "bias": [model.bias]})
 
-    counts = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>")
-    fitted = counts.limit(2 * sample).repartition(1).mapInArrow(learn, "logits binary, bias double").collect()  # one row
+    # Of rows that share an id, the text with the least hash is learned from, so that there are no more rows than labels.
+    learned = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    counts = learned.mapInArrow(reduce, "doc_id long, label int, words array<binary>, counts array<int>")
+    fitted = counts.repartition(1).mapInArrow(learn, "logits binary, bias double").collect()  # one row
     if not fitted:
         return train([], [])
     return Model(np.frombuffer(bytes(fitted[0].logits), np.float32), fitted[0].bias)

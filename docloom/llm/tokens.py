@@ -1,7 +1,7 @@
 """Encoding of whole texts with the ``tokenizers`` library, one library call for each new word.
 
-The tokenizer drops white space before it cuts a text, so the ids of a text are
-the ids of its blank-separated pieces put together.  A worker keeps the ids of
+A tokenizer that lower-cases and drops white space before it cuts a text gives a text the ids of its blank-separated
+pieces put together (``PROBES`` tell; any other gets whole texts).  A worker keeps the ids of
 the pieces it has seen (a bounded table) and asks the library for new ones only.
 """
 
@@ -19,6 +19,10 @@ MAX_WORDS, MAX_WORD_BYTES = 900_000, 64
 WORD_BPE = "word_bpe_49k.json"
 
 
+#: Texts that tell whether a tokenizer lower-cases ASCII and cuts at white space: their ids are those of their lower-cased pieces, and a mark after a word is its own.
+PROBES = ["Hello World, the END.", " a  b\tc\nd", "x.y Éa ß, OK", "The the\vTHE\fthe.", "don't re-do 3,000 words."]
+
+
 class _Pieces(dict):
     """Piece (UTF-8, ASCII letters lower-cased) -> its ids as little-endian uint32 bytes."""
 
@@ -31,6 +35,8 @@ class _Pieces(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.by_piece = all(self.ids(x.encode()) == b"".join(map(self.__getitem__, x.encode().lower().split())) for x in PROBES)
+        self.clear()
 
     def ids(self, piece: bytes) -> bytes:
         return array("I", self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids).tobytes()
@@ -55,6 +61,8 @@ def encoder(path: str, keep: int = MAX_WORDS):
     def encode(text: bytes | None) -> bytes:
         if not text:
             return b""
+        if not pieces.by_piece:  # another kind of tokenizer: the library gets the whole text
+            return pieces.ids(text)
         low = text.lower()
         if b"<|" in low:  # may hold the name of a special token, whose letters' case matters
             return b"".join([pieces.ids(x) for x in text.split()])

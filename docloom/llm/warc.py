@@ -47,7 +47,7 @@ class _Plain:
     """Bytes of an uncompressed archive; passing over is seeking."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.end = f, None
 
     def line(self) -> bytes:
         return self.f.readline()
@@ -56,8 +56,16 @@ class _Plain:
         return self.f.read(n)
 
     def skip(self, n: int) -> None:
+        if self.end is None:
+            here = self.f.tell()
+            self.end = self.f.seek(0, io.SEEK_END)
+            self.f.seek(here)
         self.f.seek(n, io.SEEK_CUR)
 
+    def cut_off(self) -> bool:
+        """Whether something was passed over that isn't there."""
+        return self.end is not None and self.f.tell() > self.end
+
 
 class _Zipped(_Plain):
     """Bytes of an archive of gzip members."""
@@ -65,6 +73,7 @@ class _Zipped(_Plain):
     def __init__(self, f):
         super().__init__(f)
         self.unzip, self.rest, self.buffer, self.at = zlib.decompressobj(31), b"", b"", 0
+        self.missing = 0
 
     def _more(self) -> bool:
         raw = self.rest or self.f.read(BLOCK)
@@ -105,8 +114,12 @@ class _Zipped(_Plain):
             self.at += step
             n -= step
             if n and not self._more():
+                self.missing += n
                 break
 
+    def cut_off(self) -> bool:
+        return self.missing > 0
+
 
 def _decoded(header: bytes) -> str:
     """Headers are UTF-8; other archives may have Latin-1."""
@@ -135,6 +148,8 @@ def records(source: _Plain, wanted=lambda headers: True, payload: bool = True, v
         size = int(head["content-length"])
         if not wanted(head):
             source.skip(size + 4)
+            if source.cut_off():
+                raise ValueError("the last record is cut off")
             continue
         full = head["warc-type"] in ("response", "resource")
         if not payload and not (verify and full):
@@ -150,12 +165,14 @@ def records(source: _Plain, wanted=lambda headers: True, payload: bool = True, v
                     name, _, value = _decoded(line).partition(":")
                     http[name.strip().lower()] = value.strip()
             source.skip(size - read + 4)
+            if source.cut_off():
+                raise ValueError("the last record is cut off")
             yield head, http, None
             continue
         block = source.read(size)
-        if len(block) < size:
-            raise ValueError("the last record is cut off")
         source.skip(4)
+        if len(block) < size or source.cut_off():
+            raise ValueError("the last record is cut off")
         http, body = {}, block
         if head.get("content-type", "").startswith("application/http"):
             top, _, body = block.partition(b"\r\n\r\n")

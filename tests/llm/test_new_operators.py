@@ -1,15 +1,17 @@
 """Periodic runs, MinHash near duplicates and spelling variants against brute force, with odd rows."""
 
 import hashlib
+import io
 import random
+import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from docloom.llm import exact_dedup, jaccard, minhash, near, periodic, spelling
-from docloom.llm.queries import _slip
+from docloom.llm import exact_dedup, jaccard, maxscore, minhash, near, periodic, quality, spelling, tokens, warc
+from docloom.llm.queries import _slip, tokenizer_path
 from tests.llm.test_operators import SCHEMA, brute_components, corpus
 
 
@@ -212,3 +214,57 @@ def test_words_of_odd_rows(spark, none):
     want = Counter(w for i, t in rows for w in map(_slip(i), "".join(c.lower() if c.isascii() else c for c in t or "").replace("1", " ").split()) if len(w) >= 6)
     assert {r.word: r.n for r in spelling.words(df, 6, 1, _slip).collect()} == dict(want)
     assert spelling.variants(spelling.words(none)).count() == 0
+
+
+def test_ranks_of_huge_components(spark):
+    """Finite components of any size are told apart, where 64 bits would make them ties."""
+    rows = [(0, [1.0, 0.5]), (1, [1e20, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [1e308, 0.0]), (5, [1e308, 1.0]), (6, [2.0, 0.0]), (7, [float("inf"), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in maxscore.top_k(vectors, maxscore.F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [5, 4, 2, 1, 6, 3]
+    numbers = [0, 1, -1, 255, 256, -255, -256, 1 << 70, -(1 << 70), (1 << 2100) + 1, -(1 << 2100)]
+    assert sorted(numbers, key=maxscore.in_order) == sorted(numbers)
+
+
+@pytest.mark.parametrize("kind", [warc._Plain, warc._Zipped])
+def test_cut_off_records_are_told_without_payloads(kind):
+    import gzip
+
+    raw = [warc.record({"record_type": t, "record_id": f"<{i}>", "payload": bytes(random.Random(i).randbytes(3000))}) for i, t in enumerate(["response", "revisit"])]
+    packed = b"".join(raw) if kind is warc._Plain else b"".join(map(gzip.compress, raw))
+    every = lambda data, **x: [h["warc-record-id"] for h, _, _ in warc.records(kind(io.BytesIO(data)), **x)]
+    assert every(packed, payload=False) == ["<0>", "<1>"]
+    for more in ({"payload": False}, {"payload": False, "wanted": lambda h: h["warc-type"] == "response"}, {}):
+        with pytest.raises(ValueError, match="cut off"):
+            every(packed[:-500], **more)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys_for_any_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(tokenizer_path(name)), tokens.encoder(tokenizer_path(name))
+    rng = random.Random(name)
+    alphabet = "aAbB ÀéßŁł\u0130ıﬁ\u00a0\u3000\n\t.,-'<|>9٣日本😀e\u0301"
+    texts = ["", "Hello World, the END.", "<|endoftext|> A<|ENDOFTEXT|>b", "x" * 1_200_000] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encode(text.encode()) == b"".join(i.to_bytes(4, "little") for i in ids), text[:60]
+
+
+def test_labels_learn_one_text_each(spark):
+    rows = [(i, f"good word{i}" if i % 2 else f"junk ### {i}") for i in range(40)] + [(i, "good again") for i in range(1, 40, 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (quality.fit(docs.repartition(n), labels, "quality") for n in (1, 5))
+    assert np.array_equal(one.logits, two.logits) and one.bias == two.bias
+
+
+def test_held_out_labels_are_never_learned(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of many") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    known = labels.where(~quality.held_out("doc_id"))
+    turned = known.unionByName(labels.where(quality.held_out("doc_id")).withColumn("quality", 1 - labels.quality))
+    assert {r.doc_id for r in known.collect()} == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    one, two = (quality.fit(docs, x.where(~quality.held_out("doc_id")), "quality") for x in (labels, turned))
+    assert np.array_equal(one.logits, two.logits) and one.bias == two.bias
