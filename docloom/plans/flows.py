@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrow as A, text as T, vectors as V
-from ..operators import cache as CA, chunks as C, rows as RO, settings as SE
-from ..operators.tables import shared_folder
+from ..operators import cache as CA, chunks as C, rows as RO, settings as SE, signatures as SI
+from ..operators.tables import saved, shared_folder
 from ..streaming import indexing as X, jobs as J
 from .registry import Literal, query, table
 from .texts import FINGERPRINT
@@ -159,3 +159,15 @@ def settings_merged(spark: SparkSession, sf: str) -> DataFrame:
     """The properties of each user's events as layers of settings."""
     layers = spark.sql(_LAYERS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
     return SE.rebuilt(SE.merged(SE.flattened(layers)))
+
+
+@query()
+def signature_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents of documents that their stored signatures find alike, confirmed on whole texts, each by its least document, with the number of documents that have it."""
+    docs = table(spark, sf, "documents")
+    store, named = SI.signed(docs)
+    store = saved(store, "signatures")
+    first = named.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    side = lambda s: first.select(F.col("content").alias(s), F.col("doc_id").alias(f"{s}_id"), F.col("copies").alias(f"{s}_copies"))
+    found = SI.confirmed(saved(SI.pairs(store, 0.75), "pairs"), docs, 0.85).join(side("a"), "a").join(side("b"), "b")
+    return found.select("a_id", "b_id", "similarity", "a_copies", "b_copies")
