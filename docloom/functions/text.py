@@ -312,6 +312,7 @@ def version_hint(c: Column | str) -> Column:
     return F.nullif(F.array_join(F.array_compact(F.array(*[F.when(name.rlike(p), label) for p, label in VERSION_HINTS])), ", "), F.lit(""))
 
 
+# Addresses, telephone numbers, numbers with units.
 EMAIL = r"[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+\.[\p{L}\p{N}_.\-]+"
 PHONE = r"(?:\+7|8)[\s(]*\d{3}[)\s\-]*\d{3}[\s\-]*\d{2}[\s\-]*\d{2}"
 QUANTITY = r"(?iu)(\d+[.,]?\d*)\s*(г/с|т/год|мг/м3|мг/м³|мкг/м3|дБА|дБ|ПДК|м3/сут|м³/сут|м3|м³|га|км|кВт|л/с|кг|т|%)($|[^\p{L}\p{N}_])"

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T, vectors as V
 from .search import small
+from .tables import attach, saved
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, owner (the least id with the same fingerprint), copies, status (done or skipped).
 
-    Owners are aggregated before the join back, so that a large group of copies does not meet in one window.
+    Owners are aggregated where the documents are, and those of large groups of copies are broadcast (there are few), so that no group meets in one task.
     """
-    marked = docs.select(F.col(doc_id).alias("doc_id"), T.fingerprint(text).alias("fingerprint"))
-    owners = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"))
-    return marked.join(owners, "fingerprint").select("doc_id", "owner", "copies", F.when(F.col("doc_id") == F.col("owner"), "done").otherwise("skipped").alias("status"))
+    marked = saved(docs.select(F.col(doc_id).alias("doc_id"), T.fingerprint(text).alias("fingerprint")), "fingerprints")
+    owners = saved(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies")), "owners")
+    return attach(marked, owners, "fingerprint", "copies").select("doc_id", "owner", "copies", F.when(F.col("doc_id") == F.col("owner"), "done").otherwise("skipped").alias("status"))
 
 
 def unseen(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,15 +29,22 @@ def unseen(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str
 def similar_contents(docs: DataFrame, at_least: float = 0.85, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """a, b (a < b), similarity of documents whose k-word shingles have at least this Jaccard similarity.
 
-    Documents with equal sets are one class, by its least id.  Two similar sets have an element in common among the least
-    ``n - ceil(t * n) + 1`` of their hashes, on which candidates are joined before the exact check.
+    Documents with equal sets are one class, by its least id.  Of two similar sets of n elements, the rarest ``n - ceil(t * n) + 1`` have one in common, in one
+    order for all: by the number of documents that hold an element.  Elements of one document come first in it and are never joined on, so
+    that candidates meet by rare elements and what many documents share (notices, headings) is hardly ever asked for.
     """
     sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.transform(T.shingles(text, k), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n"))
-    prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * at_least).cast("int") + 1)
-    keyed = sets.select("id", "n", F.explode(prefix).alias("key"))
-    a, b = keyed.toDF("a", "na", "key"), keyed.toDF("b", "nb", "key")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    sets = saved(sets.groupBy("s").agg(F.min("id").alias("id")).select("id", "s", F.size("s").alias("n")), "sets")
+    each = sets.select("id", "n", F.explode("s").alias("key"))
+    held = saved(each.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "holders")
+    rarest = Window.partitionBy("id").orderBy("holders", "key")
+    shared = attach(each, held, "key", "holders").withColumn("place", F.row_number().over(rarest)).withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    # Places among all elements: those that no other document holds come first.
+    reach = F.col("n") - F.ceil(F.col("n") * F.lit(at_least)).cast("int") + 1
+    keyed = saved(shared.where(F.col("n") - F.col("common") + F.col("place") <= reach).select("id", "n", "key"), "rarest")
+    a, b = keyed.toDF("a", "na", "key"), keyed.toDF("b", "nb", "key2")
+    close = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))
+    pairs = saved(a.join(b, close).select("a", "b").distinct(), "pairs")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return full.select("a", "b", F.round(V.jaccard(F.col("sa"), F.col("sb")), 6).alias("similarity")).where(F.col("similarity") >= at_least)
 

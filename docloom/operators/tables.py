@@ -42,3 +42,18 @@ def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     bases = sizes.select("nth", before.alias("base"))
     place = F.col("base") + F.col(own).bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return table.join(F.broadcast(bases), F.shiftrightunsigned(own, 33) == F.col("nth")).select(*df.columns, place.alias(name))
+
+
+#: A key is hot if it has over this part of all rows.
+HOT = 1 / 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with one row for each ``key`` in ``groups``, of which ``size`` is the number of rows: the few hot ones are broadcast (fewer
+    than ``1 / HOT``), so that none meets in one task. Both are best saved tables."""
+    many = F.col(size) > max(1000, int(rows.count() * HOT))
+    hot = groups.where(many)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~many), key)
+    return rows.join(F.broadcast(hot), key).select(others.columns).unionByName(others)

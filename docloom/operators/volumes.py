@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .search import small
 
 
 def belongs(volume: Column, file: Column) -> Column:
@@ -21,7 +22,7 @@ def assign(answers: DataFrame, files: DataFrame) -> DataFrame:
     An answer goes to every volume it belongs to; one that belongs to none goes to the first, and a single volume takes all.
     """
     chosen = answers.where(F.col("status").isin("accepted", "edited"))
-    volumes = F.broadcast(files.select("pos", "file"))  # the volumes of one project
+    volumes = small(files.select("pos", "file"))
     matched = chosen.join(volumes, belongs(F.col("oos_volume"), F.col("file"))).select("number", "file")
     first = files.agg(F.min_by("file", "pos").alias("first"), F.count(F.lit(1)).alias("n"), F.min("file").alias("only"))
     left = chosen.select("number").join(matched.select("number").distinct(), "number", "left_anti").crossJoin(F.broadcast(first)).where(F.col("first").isNotNull()).select("number", F.col("first").alias("file"))  # first: one row
@@ -63,10 +64,14 @@ def working_order(health: DataFrame, local: str = "local", large: float = 13.0)
     return working.select("provider", F.row_number().over(order).alias("place"))
 
 
+# Parts of the names of models that don't chat.
+NO_CHAT = "bge|embed|rerank|whisper|tts|audio|image|vision-only|dall|sora|veo|imagen|moderation|guard|nomic|minilm|clip"
+
+
 def ranked_models(models: DataFrame, preferences: DataFrame, top: int = 4) -> DataFrame:
     """provider, model, place of chat models (provider, pos, model): by the first preference (provider, ord, pattern) they meet, shorter names first; others behind, as listed."""
-    chat = models.where(~F.lower("model").rlike("bge|embed|rerank|whisper|tts|audio|image|vision-only|dall|sora|veo|imagen|moderation|guard|nomic|minilm|clip"))
-    liked = chat.join(F.broadcast(preferences), "provider").where(F.regexp_like(F.lower("model"), F.lower("pattern"))).groupBy("provider", "model").agg(F.min("ord").alias("ord"))  # preferences: a fixed dimension
+    chat = models.where(~F.lower("model").rlike(NO_CHAT))
+    liked = chat.join(small(preferences), "provider").where(F.regexp_like(F.lower("model"), F.lower("pattern"))).groupBy("provider", "model").agg(F.min("ord").alias("ord"))
     placed = chat.join(liked, ["provider", "model"], "left")
     order = Window.partitionBy("provider").orderBy(F.col("ord").asc_nulls_last(), F.when(F.col("ord").isNotNull(), F.length("model")).otherwise(F.col("pos")), "pos")
     return placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("provider", "model", "place")

@@ -171,3 +171,21 @@ def signature_pairs(spark: SparkSession, sf: str) -> DataFrame:
     side = lambda s: first.select(F.col("content").alias(s), F.col("doc_id").alias(f"{s}_id"), F.col("copies").alias(f"{s}_copies"))
     found = SI.confirmed(saved(SI.pairs(store, 0.75), "pairs"), docs, 0.85).join(side("a"), "a").join(side("b"), "b")
     return found.select("a_id", "b_id", "similarity", "a_copies", "b_copies")
+
+
+@query("""WITH b AS (SELECT item_id::VARCHAR AS number, text, (row_number() OVER (ORDER BY length(item_id::VARCHAR), item_id::VARCHAR) - 1) // 10 AS pack FROM benchmark)
+ SELECT pack::BIGINT AS pack, number, text AS remark, CASE WHEN number::BIGINT % 7 = 3 THEN '' ELSE 'Ответ на ' || number || ': ' || length(text) END AS answer, CASE WHEN number::BIGINT % 7 = 3 THEN 'low' WHEN number::BIGINT % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN number::BIGINT % 7 <> 3 AND number::BIGINT % 2 = 0 THEN '1,2' ELSE '' END AS used, number::BIGINT % 7 <> 3 AND number::BIGINT % 2 = 1 AS low_support FROM b""")
+def packed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages as remarks, answered in packs by a model that passes over some of them."""
+    from ..operators import answering as AN
+
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    remarks = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("number"), "text", F.lit("").alias("context"))
+
+    def model(rows: list[dict]) -> list[dict]:
+        even = lambda r: int(r["number"]) % 2 == 0
+        return [{"number": r["number"], "answer": f"Ответ на {r['number']}: {len(r['text'])} ", "confidence": "высокая" if even(r) else None, "used": [1, 2] if even(r) else []} for r in rows if int(r["number"]) % 7 != 3]
+
+    AN.ask(remarks, folder, model)
+    return AN.answers(spark, folder).select("pack", "number", "remark", "answer", "confidence", F.array_join(F.transform("used", lambda x: x.cast("string")), ",").alias("used"), "low_support")
