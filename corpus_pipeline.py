@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, folder of tables) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Odd input, for every stage: a null text counts as empty, scores like an empty one, is a copy of other empty texts of other ids, and is near nothing; a null
+id is never a copy or near duplicate and stays; rows that share an id but not a text stand for themselves; rows that repeat
+another, id and text, go or stay with it; an empty table gives an empty one; columns of any name, also those that operators use, stay as they are.
 """
 
 from __future__ import annotations
