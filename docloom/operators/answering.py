@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from .registers import natural_order
-from .tables import numbered
+from .tables import folder_has, numbered
 
 #: Remarks that a model gets at once.
 PACK = 10
@@ -23,15 +23,10 @@ PACK = 10
 ANSWER = "pack long, number string, remark string, answer string, confidence string, used array<int>, attachments array<string>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def plan(remarks: DataFrame, folder: str, size: int = PACK) -> DataFrame:
     """pack, place, number, text, context of remarks (number, text, context) in packs of ``size`` in natural order; as it was drawn up first, if the folder has a plan."""
     spark, path = remarks.sparkSession, f"{folder}/plan"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not folder_has(spark, f"{path}/_SUCCESS"):
         placed = numbered(remarks.select("number", "text", "context"), [*natural_order(), "text", "context"])
         placed.select(F.floor((F.col("place") - 1) / size).alias("pack"), "place", "number", "text", "context").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -40,7 +35,7 @@ def plan(remarks: DataFrame, folder: str, size: int = PACK) -> DataFrame:
 def committed(spark: SparkSession, folder: str) -> DataFrame:
     """The answers of all packs that are done, as the model gave them."""
     path = f"{folder}/commits"
-    return spark.read.schema(ANSWER).json(path) if _exists(spark, path) else spark.createDataFrame([], ANSWER)
+    return spark.read.schema(ANSWER).json(path) if folder_has(spark, path) else spark.createDataFrame([], ANSWER)
 
 
 def open_packs(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from .search import small
+from .tables import numbered, saved
 
 
 def verbatim(queries: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
@@ -37,24 +37,46 @@ def judged(scores: DataFrame, low: int = 5) -> DataFrame:
     return scores.agg(F.count("score").alias("n"), F.round(F.avg("score"), 3).alias("mean"), F.count_if(F.col("score") <= low).alias("low"))
 
 
+def _steps_to_other(placed: DataFrame, column: str, name: str) -> DataFrame:
+    """``placed`` (project, i, n, ...) with how many steps around its circle lead to the next answer that differs in a column; n if none does.
+
+    Answers that equal the next one take over its steps, which doubles what is known in each round.
+    """
+    step = lambda by: F.pmod(F.col("i") + by, F.col("n")).alias("i2")
+    behind = placed.select("project", F.col("i").alias("i2"), F.col(column).alias("other"))
+    known = placed.select("project", "i", "n", column, step(F.lit(1))).join(behind, ["project", "i2"])
+    known = saved(known.select("project", "i", "n", F.lit(1).cast("long").alias("steps"), (~F.col(column).eqNullSafe(F.col("other"))).alias("found")), "steps")
+    while not (left := known.where("NOT found AND steps < n")).isEmpty():
+        to = known.select("project", F.col("i").alias("i2"), F.col("steps").alias("more"), F.col("found").alias("there"))
+        further = left.select("project", "i", "n", "steps", step(F.col("steps"))).join(to, ["project", "i2"]).select("project", "i", "n", (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("found"))
+        known = saved(known.where("found OR steps >= n").unionByName(further), "steps")
+    return placed.join(known.select("project", "i", F.when(F.col("found") & (F.col("steps") < F.col("n")), F.col("steps")).otherwise(F.col("n")).alias(name)), ["project", "i"])
+
+
 def triples(answers: DataFrame) -> DataFrame:
-    """project, pos, anchor, positive, negative from answers (project, pos, remark, snippet, file).
+    """project, pos, anchor, positive, negative from answers (project, pos, remark, snippet, file; one row for each project and pos).
 
     The negative is the snippet of the nearest answer behind, around the circle of the project's
-    answers with a snippet, that has another snippet and another file.  A project is one task; its answers
-    have been reviewed by people one by one.
-    """
+    answers with a snippet, that has another snippet and another file; answers without such a one have no row.
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        snippets, files, n, out = rows.snippet.tolist(), rows.file.tolist(), len(rows), []
-        for i in range(n):
-            for j in range(1, n):
-                k = (i + j) % n
-                if snippets[k] != snippets[i] and files[k] != files[i]:
-                    out.append((rows.project[i], rows.pos[i], rows.remark[i], snippets[i], snippets[k]))
-                    break
-        return pd.DataFrame(out, columns=["project", "pos", "anchor", "positive", "negative"])
-
-    usable = answers.where(T.strip(T.text("snippet")) != "").select("project", F.col("pos").cast("long").alias("pos"), "remark", "snippet", "file")
-    return usable.groupBy("project").applyInPandas(pick, "project string, pos long, anchor string, positive string, negative string")
+    Answers are numbered without a task that holds a project.  A search goes from an answer over whole runs of equal files or equal snippets.
+    """
+    usable = answers.where((T.strip(T.text("snippet")) != "") & F.col("project").isNotNull()).select("project", F.col("pos").cast("long").alias("pos"), "remark", "snippet", "file")
+    usable = numbered(usable, ["project", "pos", "snippet", "file", "remark"])
+    circles = usable.groupBy("project").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = saved(usable.join(small(circles), "project").withColumn("i", F.col("place") - F.col("first")).drop("place", "first"), "answers")
+    placed = saved(_steps_to_other(_steps_to_other(placed, "snippet", "to_snippet"), "file", "to_file"), "answers")
+    own = placed.select("project", "i", "n", "snippet", "file", F.greatest("to_snippet", "to_file").alias("steps"))
+    there = placed.select("project", F.col("i").alias("j"), F.col("snippet").alias("negative"), F.col("file").alias("other"), F.col("to_snippet").alias("over_snippet"), F.col("to_file").alias("over_file"))
+    chosen = None
+    open_ = saved(own.where("steps < n"), "open")
+    while not open_.isEmpty():
+        met = saved(open_.withColumn("j", F.pmod(F.col("i") + F.col("steps"), F.col("n"))).join(there, ["project", "j"]), "met")
+        same_file, same_snippet = F.col("other").eqNullSafe(F.col("file")), F.col("negative") == F.col("snippet")
+        found = met.where(~same_file & ~same_snippet).select("project", "i", "negative")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        over = F.greatest(F.when(same_file, F.col("over_file")).otherwise(0), F.when(same_snippet, F.col("over_snippet")).otherwise(0))
+        open_ = saved(met.where(same_file | same_snippet).select("project", "i", "n", "snippet", "file", (F.col("steps") + over).alias("steps")).where("steps < n"), "open")
+    if chosen is None:
+        return placed.select("project", "pos", F.col("remark").alias("anchor"), F.col("snippet").alias("positive"), F.col("snippet").alias("negative")).where(F.lit(False))
+    return placed.join(chosen, ["project", "i"]).select("project", "pos", F.col("remark").alias("anchor"), F.col("snippet").alias("positive"), "negative")

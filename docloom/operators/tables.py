@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder_has(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that loops keep short plans and survive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

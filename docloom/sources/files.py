@@ -211,14 +211,26 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.withColumn("exported_at", F.current_timestamp()).write.mode("append").json(path)
 
 
+def kept_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``; one that a swap left halfway is put in its place first: the new one if it was written whole, else the old one."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm(path)):
+        for other, whole in ((f"{path}.next", f"{path}.next/_SUCCESS"), (f"{path}.old", f"{path}.old")):
+            if fs.exists(jvm(whole)):
+                fs.rename(jvm(other), jvm(path))
+                break
+    return spark.read.parquet(path)
+
+
 def swap_table(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by ``df``, which may be computed from it: it is written beside it, then renamed."""
+    """Replace the table at ``path`` by ``df``, which may be computed from it: it is written beside it, then renamed. :func:`kept_table` reads it, also after a crash between the two renames."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.next")
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm(f"{path}.old"), True)
     if fs.exists(jvm(path)):
+        fs.delete(jvm(f"{path}.old"), True)
         fs.rename(jvm(path), jvm(f"{path}.old"))
     fs.rename(jvm(f"{path}.next"), jvm(path))
     fs.delete(jvm(f"{path}.old"), True)

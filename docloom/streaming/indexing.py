@@ -13,21 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text as T
+from ..operators.tables import folder_has
 
 ENTRY = "file string, status string, raw_sha string, fingerprint string, chunks long, reason string"
 IN_FLIGHT, FINAL = 0, 1
 
 
-def _folder_has(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def manifest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """The last entry of each file: file, status (running, done, skipped, error), raw_sha, fingerprint, chunks, reason, batch; of batches before one, if given."""
     path = f"{folder}/manifest"
     schema = f"{ENTRY}, batch long, stage int"
-    rows = spark.read.schema(schema).parquet(path) if _folder_has(spark, path) else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path) if folder_has(spark, path) else spark.createDataFrame([], schema)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     last = rows.groupBy("file").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "file"]), F.struct("batch", "stage")).alias("e"))
@@ -106,7 +102,7 @@ class StopRequested(Exception):
 def orders(spark: SparkSession, control: str) -> DataFrame:
     """key, action of the last order for each key in an append-only log (key, action, ts) of JSON lines; the key * is for the stream as a whole."""
     schema = "key string, action string, ts long"
-    log = spark.read.schema(schema).json(control) if _folder_has(spark, control) else spark.createDataFrame([], schema)
+    log = spark.read.schema(schema).json(control) if folder_has(spark, control) else spark.createDataFrame([], schema)
     return log.groupBy("key").agg(F.max_by("action", F.struct("ts", "action")).alias("action"))
 
 
@@ -130,11 +126,11 @@ def controlled(source: DataFrame, key: str, work: Callable[[DataFrame, int], Non
         if not last.where("key = '*' AND action = 'stop'").isEmpty():
             raise StopRequested(f"before batch {epoch}")
         told = f"{folder}/orders/batch={epoch}"
-        if not _folder_has(spark, f"{told}/_SUCCESS"):
+        if not folder_has(spark, f"{told}/_SUCCESS"):
             last.write.mode("overwrite").parquet(told)
         paused = spark.read.parquet(told).where("action = 'pause'").select(F.col("key").alias("paused_key"))
         before = f"{folder}/waiting/batch={epoch - 1}"
-        if _folder_has(spark, before):
+        if folder_has(spark, before):
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(before))
         name = F.col(key).cast("string")
         rows.join(paused, name == F.col("paused_key"), "left_semi").write.mode("overwrite").parquet(f"{folder}/waiting/batch={epoch}")

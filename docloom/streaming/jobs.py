@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..operators.tables import folder_has, saved
 
 #: Seconds without a heartbeat after which a job counts as dead.
 DEAD_AFTER = 120
@@ -81,14 +82,13 @@ def index_stream(spark: SparkSession, source: DataFrame, manifest: str, checkpoi
     """
 
     def batch(docs: DataFrame, epoch: int) -> None:
+        own = docs.sparkSession
         marked = docs.withColumn("fingerprint", T.fingerprint("text"))
         first = marked.groupBy("fingerprint").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("fingerprint", "d.doc_id", "d.text")
-        try:
-            seen = docs.sparkSession.read.parquet(manifest).where(F.col("epoch") != epoch).select("fingerprint")
+        if folder_has(own, manifest):
+            seen = own.read.parquet(manifest).where(F.col("epoch") != epoch).select("fingerprint")
             first = first.join(seen, "fingerprint", "left_anti")
-        except Exception as error:  # the first batch finds no manifest yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        first = saved(first, "first-contents")  # what is indexed is what the manifest says
         index(first, epoch)
         first.select("doc_id", "fingerprint").write.mode("overwrite").parquet(f"{manifest}/epoch={epoch}")
 

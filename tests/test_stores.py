@@ -117,3 +117,16 @@ def test_numbering(spark):
     got = {r.row0: r.place for r in numbered(df, [F.desc("a"), "row0"]).collect()}
     assert got == {name: i for i, (_, name) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
     assert numbered(df.limit(0), ["a"]).count() == 0
+
+
+def test_a_swap_that_dies_leaves_a_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    one, two = (spark.createDataFrame([(i,)], "a int") for i in (1, 2))
+    S.swap_table(one, path)
+    S.swap_table(two.union(S.kept_table(spark, path)), path)
+    assert sorted(r.a for r in S.kept_table(spark, path).collect()) == [1, 2]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # dead between the renames, with nothing new beside it
+    assert S.kept_table(spark, path).count() == 2
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    one.write.parquet(f"{path}.next")
+    assert [r.a for r in S.kept_table(spark, path).collect()] == [1]
