@@ -5,8 +5,10 @@ their own; rows of equal id and text are one.  Rows with equal sets are one clas
 
 * Nodes that share a key are candidates.  In each key all nodes are first held against the least one (its hub).
   Links found so make components.
-* Keys that still hold several components: nodes outside the hub's component are held against the key's other nodes,
-  unless already connected.  So a large group of near copies costs one comparison for each member.
+* In keys that still hold several components all nodes are held against one more, drawn by a hash of key and node.  A node has many keys
+  and so meets as many different members of a large group, of which a link to any connects it.
+* In keys that hold several components even then, nodes outside the hub's component are held against the key's other nodes,
+  unless already connected.  So a large group of near copies costs two comparisons for each member and key, and what is left is few.
 * Pairs pass a cheap test of sizes and sketches in the join's own condition before their whole sets are compared.
 
 Keys, hubs and classes that hold many rows never meet in one task: rows of narrow tables are joined with the few hot ones
@@ -163,6 +165,33 @@ class Groups:
         close = alone.alias("l").join(others.alias("r"), same & once & self._test()).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         return self._links(save(close.distinct(), "pairs"))
 
+    def _placed(self, keyed: DataFrame, near: DataFrame) -> DataFrame:
+        """The nodes of keys that hold several components: key, id, c (its component), hub, hub_c; saved."""
+        of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+        placed = lookup(keyed, of("hub"), "hub").join(of("id"), "id", "left")
+        placed = save(placed.select("key", "id", F.coalesce("id_c", "id").alias("c"), "hub", F.coalesce("hub_c", "hub").alias("hub_c")), "placed")
+        mixed = save(placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("c") != F.col("hub_c")).alias("several")).where("several").select("key", "members"), "several")
+        out = save(attach_groups(placed, mixed, "key", "members", placed.count()).drop("members"), "placed")
+        forget(placed, mixed)
+        return out
+
+    def _drawn(self, placed: DataFrame) -> DataFrame:
+        """Links of nodes with one node of each key of theirs, drawn by hash, that is of another component."""
+        draw = F.xxhash64("key", "id")
+        drawn = placed.groupBy("key").agg(F.min_by(F.struct("id", "c"), draw).alias("one"), F.count(F.lit(1)).alias("members"))
+        drawn = save(drawn.select("key", F.col("one.id").alias("drawn"), F.col("one.c").alias("drawn_c"), "members"), "drawn")
+        met = attach_groups(placed.select("key", "id", "c"), drawn, "key", "members", placed.count()).where("c <> drawn_c")
+        return self._stars(met.select("key", F.greatest("id", "drawn").alias("id"), F.least("id", "drawn").alias("hub")))
+
+    @staticmethod
+    def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
+        """node, component of nodes with a link, saved; links (a, b) are new ones between components, so that their graph is small."""
+        of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+        joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+        last = components(joined).select(F.col("node").alias("component"), F.col("component").alias("last"))
+        alone = last.select(F.col("component").alias("node"), "component").join(near.select("node"), "node", "left_anti")
+        return save(near.select("node", "component").unionByName(alone).join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component")), "linked")
+
     def found(self) -> DataFrame:
         """One row for each row of the documents: doc_id, tie, n, least (the name of the least document that links lead to; null for sets without links or copies)."""
         shared = self.shared
@@ -170,18 +199,13 @@ class Groups:
         keyed = save(attach_groups(shared, hubs, "key", "members", shared.count()).select("key", "id", "hub"), "grouped-keys")
         forget(shared, hubs)
         near = components(self._stars(keyed))
-        of = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-        placed = lookup(keyed, of("hub"), "hub").join(of("id"), "id", "left")
-        placed = save(placed.select("key", "id", F.coalesce("id_c", "id").alias("c"), "hub", F.coalesce("hub_c", "hub").alias("hub_c")), "placed")
-        across = self._across(placed)
-        forget(keyed, placed)
-
-        # Links of the second kind join components of the first, so that the second graph is small.
-        joined = across.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-        last = components(joined).select(F.col("node").alias("component"), F.col("component").alias("last"))
-        alone = last.select(F.col("component").alias("node"), "component").join(near.select("node"), "node", "left_anti")
-        linked = near.select("node", "component").unionByName(alone).join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
-        linked = save(linked, "linked")
+        several = self._placed(keyed, near)
+        forget(keyed)
+        near = self._merged(near, self._drawn(several))
+        left = self._placed(several.select("key", "id", "hub"), near)
+        forget(several)
+        linked = self._merged(near, self._across(left))
+        forget(left)
 
         # The least name: of a class's rows, and of all classes of a component.
         class_of = self.classes.select(F.col("first").alias("node"), "least")
