@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
-from .search import small
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -27,18 +29,73 @@ def retract(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(hit, ["project", "number"], "left").withColumn("retracted", F.coalesce("_hit", "retracted", F.lit(False))).drop("_hit")
 
 
+#: Rows and words in a shard of a similarity search at most, on average; pairs that are counted at once.
+SHARD_ROWS, SHARD_WORDS, COUNTED = 16_384, 1 << 20, 1 << 20
+
+
+def _nearest(k: int, at_least: float):
+    """The ``k`` best memories of a shard for each query of a shard, by counts of common words in blocks of ``COUNTED`` pairs."""
+
+    def search(q: pa.Table, m: pa.Table) -> pa.Table:
+        nq, nm = (pc.list_value_length(t["t"]).to_numpy().astype(np.int64) for t in (q, m))
+        words = pa.chunked_array([*pc.list_flatten(q["t"]).chunks, *pc.list_flatten(m["t"]).chunks], pa.string()).combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy()
+        asked, held = code[: nq.sum()], code[nq.sum() :]
+        # Memories by word, and where each word's begin; queries' words in order of query.
+        by_word = np.repeat(np.arange(len(nm)), nm)[np.argsort(held, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(words.dictionary)))])
+        upto = np.concatenate([[0], np.cumsum(nq)])
+        both = lambda c: pa.chunked_array([*q[c].chunks, *m[c].chunks], q[c].type).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        project, remark = both("project"), both("remark")
+        order = np.empty(len(nm), np.int64)
+        order[pc.sort_indices(m["id"]).to_numpy()] = np.arange(len(nm))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        step = max(1, COUNTED // max(1, len(nm)))
+        for low in range(0, len(nq), step):
+            n = min(step, len(nq) - low)
+            w = asked[upto[low] : upto[low + n]]
+            each = begin[w + 1] - begin[w]
+            at = np.repeat(begin[w] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
+            row = np.repeat(np.repeat(np.arange(n), nq[low : low + n]), each)
+            counts = np.bincount(row * len(nm) + by_word[at], minlength=n * len(nm))
+            pair = np.flatnonzero(counts)
+            c, i, j = counts[pair], low + pair // len(nm), pair % len(nm)
+            union = nq[i] + nm[j] - c
+            score = (2_000_000 * c + union) // (2 * union)  # millionths, half up
+            pi, pj, ri, rj = project[i], project[len(nq) + j], remark[i], remark[len(nq) + j]
+            fit = (score / 1e6 >= at_least) & (pi != pj) & (pi >= 0) & (pj >= 0) & (ri != rj)
+            i, j, score = i[fit], j[fit], score[fit]
+            best = np.lexsort((order[j], -score, i))
+            i, j, score = i[best], j[best], score[best]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((i[top], j[top], score[top]))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": q["query_id"].take(pa.array(i)), "id": m["id"].take(pa.array(j)), "score": score / 1e6})
+
+    return search
+
+
 def similar(queries: DataFrame, memory: DataFrame, k: int = 3, at_least: float = 0.12) -> DataFrame:
     """query_id, id, score, rank of the ``k`` memories most like a query's words.
 
     Queries are (query_id, project, remark), memories (id, project, remark, retracted).  Retracted memories, those of the query's own
-    project and those of the same remark are left out.  Pairs are found by a word in common.
+    project and those of the same remark are left out.  Both lie in shards; every shard of queries meets every shard of memories in a task, which
+    counts words in common and hands on the best, so that no pair is ever a row but the ``k`` best of each two shards.
     """
-    q = queries.select("query_id", F.col("project").alias("own"), F.lower("remark").alias("q"), T.memory_tokens("remark").alias("qt")).where(F.size("qt") > 0)
-    m = memory.where(~F.coalesce("retracted", F.lit(False))).select("id", "project", F.lower("remark").alias("m"), T.memory_tokens("remark").alias("mt"))
-    asked = small(q.select("query_id", F.explode("qt").alias("word")))
-    shared = m.select("id", F.size("mt").alias("nm"), F.explode("mt").alias("word")).join(asked, "word").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"), F.first("nm").alias("nm"))
-    scored = shared.join(small(q), "query_id").join(m.select("id", "project", "m"), "id").where((F.col("own") != F.col("project")) & (F.col("q") != F.col("m")))
-    scored = scored.select("query_id", "id", F.round(F.col("c") / (F.col("nm") + F.size("qt") - F.col("c")), 6).alias("score")).where(F.col("score") >= at_least)
+    side = lambda df, name: df.select(name, "project", F.sha2(F.lower("remark"), 256).alias("remark"), T.memory_tokens("remark").alias("t")).where(F.size("t") > 0)
+    q, m = side(queries, "query_id"), side(memory.where(~F.coalesce("retracted", F.lit(False))), "id")
+
+    def shards(df: DataFrame) -> int:
+        n = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("words")).first()
+        return max(1, -(-n.rows // SHARD_ROWS), -(-n.words // SHARD_WORDS))
+
+    nq, nm = shards(q), shards(m)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = lambda df: df.repartition(nq * nm, "qs", "ms").groupBy("qs", "ms")
+    tiles = met(q.withColumn("qs", part("query_id", nq)).withColumn("ms", every(nm))).cogroup(met(m.withColumn("ms", part("id", nm)).withColumn("qs", every(nq))))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    scored = tiles.applyInArrow(_nearest(k, at_least), f"query_id {kind(q, 'query_id')}, id {kind(m, 'id')}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

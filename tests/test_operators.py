@@ -144,3 +144,25 @@ def test_incremental_index(spark, tmp_path):
         J.index_stream(spark, stream, str(tmp_path / "manifest"), str(tmp_path / "cp"), lambda d, e: seen.extend(r.doc_id for r in d.collect())).awaitTermination(120)
         spark.createDataFrame([(4, "ДВА"), (5, "Три")], docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(seen) == [1, 3, 5]
+
+
+def test_memories_in_shards_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_ROWS", 7)
+    monkeypatch.setattr(M, "COUNTED", 30)
+    words = ["шумовое", "воздействие", "площадка", "выбросы", "отходы", "расчёт", "том1", "сети"]
+    memory = [(i, None if i % 11 == 0 else f"p{i % 4}", " ".join(words[j] for j in range(8) if (i * 37 >> j) & 1) or None, i % 9 == 0) for i in range(40)]
+    queries = [(i, p, r) for i, p, r, _ in memory]
+    tokens = lambda r: {w for w in (r or "").lower().split() if len(w) >= 4}
+    want = set()
+    for a, p, r in queries:
+        near = []
+        for b, o, s, gone in memory:
+            x, y = tokens(r), tokens(s)
+            if x and y and not gone and None not in (p, o) and p != o and r != s:
+                score = round(len(x & y) / len(x | y), 6)
+                near += [(-score, b)] if x & y and score >= 0.12 else []
+        want |= {(a, b, -score, rank) for rank, (score, b) in enumerate(sorted(near)[:3], 1)}
+    got = M.similar(spark.createDataFrame(queries, "query_id long, project string, remark string"), spark.createDataFrame(memory, "id long, project string, remark string, retracted boolean"))
+    assert {tuple(r[c] for c in ("query_id", "id", "score", "rank")) for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
