@@ -166,3 +166,10 @@ def test_memories_in_shards_without_a_row_for_each_pair(spark, monkeypatch):
     assert {tuple(r[c] for c in ("query_id", "id", "score", "rank")) for r in got.collect()} == want and len(want) > 50
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_timeline_of_files_of_one_name_whatever_their_order(spark):
+    rows = [("a", "x", "2024-01-01", label) for label in ("актуальная", "исходная", "исходная")]
+    for some in (rows, rows[::-1]):
+        got = D.timeline(spark.createDataFrame(some, "section string, file string, date string, label string").coalesce(1))
+        assert [r.label for r in got.orderBy("place").collect()] == ["исходная", "исходная", "актуальная"]
