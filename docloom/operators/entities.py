@@ -1,8 +1,8 @@
 """Entities in texts: terms of dictionaries by an inverted index, and the kinds of things an answer must not make up.
 
-A term is a run of words with fixed separators.  The index has a row for each pair of neighbouring words in a term (or for its
-only word), so that texts and dictionary meet by equality of words in one pass over the texts; a term stands where all its
-pairs do.  No text is sent along with its words, and a dictionary of any size is joined, not looped over.
+A term is a run of words with fixed separators.  Texts give a row for each run of as many words as some term has, so that texts
+and dictionary meet by equality of whole runs in one pass over the texts, and a word that many terms share is no hot key.
+No text is sent along with its words, and a dictionary of any size is joined, not looped over.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .search import small
+from .tables import saved
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
@@ -19,51 +21,51 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 ROOM = 1 << 12
 
 
-def placed_words(texts: DataFrame) -> DataFrame:
-    """n, pos, word, gap, after, next, after_next, left of texts (n, text): each word in lower case, the separators before and behind it, the
-    next word and what is behind that, and how many words follow."""
-    low = F.lower(T.text("text"))
-    found = texts.select("n", F.regexp_extract_all(low, F.lit(rf"{T.WORD}+"), 0).alias("w"), F.split(low, rf"{T.WORD}+", -1).alias("g"))
-    m = F.size("w")
-    ahead = lambda c, k: F.slice(c, k + 1, F.greatest(m, F.lit(1)))
-    zipped = F.arrays_zip("w", F.slice("g", 1, m).alias("gap"), ahead("g", 1).alias("after"), ahead("w", 1).alias("next"), ahead("g", 2).alias("after_next"))
-    rows = found.select("n", m.alias("m"), F.posexplode(zipped).alias("pos", "x")).where("x.w IS NOT NULL")
-    return rows.select("n", "pos", F.col("x.w").alias("word"), "x.gap", "x.after", "x.next", "x.after_next", (F.col("m") - F.col("pos") - 1).alias("left"))
+#: Rows of the index that are broadcast at most; a larger one is joined by shuffling the texts' runs of words.
+INDEXED = 1_000_000
 
 
-def term_pairs(terms: DataFrame) -> DataFrame:
-    """The index of terms (alias, code): alias, code, k (from 0), size (words), word, next (null for a term of one word), and the term's own separators
-    (t_gap, t_after, t_after_next). Of terms spelled alike the last code in order of ``ord`` holds, or the greatest without such a column."""
+def term_index(terms: DataFrame) -> DataFrame:
+    """The index of terms (alias, code): core (from the first word to the last), size (words), code, t_gap and t_after (the term's own separators before
+    and behind). Of terms spelled alike the last code in order of ``ord`` holds, or the greatest without such a column."""
     order = "ord" if "ord" in terms.columns else "code"
     one = terms.select(F.lower("alias").alias("alias"), "code", F.col(order).alias("o")).groupBy("alias").agg(F.max_by("code", "o").alias("code"))
-    words = placed_words(one.select(F.struct("alias", "code").alias("n"), F.col("alias").alias("text")))
-    pairs = words.where("next IS NOT NULL OR pos = 0")
-    return pairs.select("n.alias", "n.code", F.col("pos").alias("k"), (F.col("pos") + F.col("left") + 1).alias("size"), "word", "next", F.col("gap").alias("t_gap"), F.col("after").alias("t_after"), F.col("after_next").alias("t_after_next"))
+    size = F.size(F.regexp_extract_all("alias", F.lit(rf"{T.WORD}+"), 0))
+    cut = one.select("alias", "code", size.alias("size"), F.regexp_extract("alias", rf"^{NOT_WORD}*", 0).alias("t_gap"), F.regexp_extract("alias", rf"{NOT_WORD}*$", 0).alias("t_after")).where("size > 0")
+    core = F.substring("alias", F.length("t_gap") + 1, F.length("alias") - F.length("t_gap") - F.length("t_after"))
+    return cut.select(core.alias("core"), "size", "code", "t_gap", "t_after")
+
+
+def placed_runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """n, pos, size, core, gap, after, left of texts (n, text): each run of so many words in lower case with the separators between them, those
+    before and behind it, and how many words follow."""
+    low = F.lower(T.text("text"))
+    found = texts.select("n", F.regexp_extract_all(low, F.lit(rf"{T.WORD}+"), 0).alias("w"), F.split(low, rf"{T.WORD}+", -1).alias("g")).where(F.size("w") > 0)
+    ahead = lambda c, k: F.slice(c, k + 1, F.size("w"))
+    zipped = F.arrays_zip(*[x for k in range(max(sizes)) for x in (ahead("g", k).alias(f"g{k}"), ahead("w", k).alias(f"w{k}"))], ahead("g", max(sizes)).alias(f"g{max(sizes)}"))
+    rows = found.select("n", F.size("w").alias("m"), F.posexplode(zipped).alias("pos", "x"))
+    run = lambda size: F.concat(*[F.col(f"x.{c}{k}") for k in range(size) for c in ("g", "w")][1:])
+    each = [F.when(F.col("pos") + size <= F.col("m"), F.struct(F.lit(size).alias("size"), run(size).alias("core"), F.col(f"x.g{size}").alias("after"))) for size in sizes]
+    out = rows.select("n", "pos", "m", F.col("x.g0").alias("gap"), F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL")
+    return out.select("n", "pos", "r.size", "r.core", "gap", "r.after", (F.col("m") - F.col("pos") - F.col("r.size")).alias("left"))
 
 
 def _fits() -> Column:
-    """Whether the separators around words in a text are those of the term's words: the same between them, and at its ends part of
-    the text's, with no word touching them."""
+    """Whether the separators around a run of words in a text hold the term's own as their ends, with no word touching them."""
     free = lambda whole, part: (part == "") | (F.length(whole) > F.length(part))
     before = F.endswith("gap", "t_gap") & (free(F.col("gap"), F.col("t_gap")) | (F.col("pos") == 0))
-    behind = lambda c, left: F.startswith(c, f"t_{c}") & (free(F.col(c), F.col(f"t_{c}")) | (F.col("left") == left))
-    single = before & behind("after", 0)
-    paired = (F.col("next") == F.col("t_next")) & (F.col("after") == F.col("t_after"))
-    paired = paired & ((F.col("k") > 0) | before) & ((F.col("k") < F.col("size") - 2) | behind("after_next", 1))
-    return F.when(F.col("t_next").isNull(), single).otherwise(paired)
+    return before & F.startswith("after", "t_after") & (free(F.col("after"), F.col("t_after")) | (F.col("left") == 0))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """n, alias, code, begin, end of all terms (alias, code) that stand in texts (n, text) as whole words; begin and end are in order of the text."""
-    index = term_pairs(terms).withColumnRenamed("next", "t_next")
-    hits = placed_words(texts).join(index, "word").where(_fits())
-    # A pair's end is known at the last one only.
-    trail = F.when(F.col("t_next").isNull(), F.length("t_after")).when(F.col("k") == F.col("size") - 2, F.length("t_after_next")).otherwise(0)
-    lead = F.when(F.col("k") == 0, F.length("t_gap")).otherwise(0)
-    found = hits.groupBy("n", (F.col("pos") - F.col("k")).alias("start"), "alias", "code", "size").agg(F.count(F.lit(1)).alias("pairs"), F.max(lead).alias("lead"), F.max(trail).alias("trail"))
-    place = lambda c: F.col(c).cast("long") * ROOM
-    whole = found.where(F.col("pairs") == F.greatest(F.col("size") - 1, F.lit(1)))
-    return whole.select("n", "alias", "code", (place("start") - F.col("lead")).alias("begin"), (place("start") + (F.col("size") - 1) * ROOM + F.col("trail")).alias("end"))
+    index = saved(term_index(terms), "terms")
+    held = index.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each number of words in a term
+    runs = placed_runs(texts, sorted(r["size"] for r in held) or [1])
+    dictionary = small(index.drop("size"), sum(r.n for r in held), INDEXED)
+    place = lambda c: c.cast("long") * ROOM
+    begin, end = place(F.col("pos")) - F.length("t_gap"), place(F.col("pos") + F.col("size") - 1) + F.length("t_after")
+    return runs.join(dictionary, "core").where(_fits()).select("n", F.concat("t_gap", "core", "t_after").alias("alias"), "code", begin.alias("begin"), end.alias("end"))
 
 
 def outer_spans(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
 from ..operators import entities as E, indicators as I
 from .registry import Literal, query, table
 from .texts import QUANTITY_SQL, squeeze
@@ -114,9 +115,8 @@ def entity_dictionary_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of one, two and three words, drawn from a tenth of the documents, in all of them: a dictionary that grows with the texts."""
     d = table(spark, sf, "documents")
     w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0)
-    at = lambda i: F.get("w", F.lit(i))
-    drawn = d.where("doc_id % 10 = 0").select("doc_id", w.alias("w")).where(F.size("w") >= 5)
-    terms = drawn.select(F.explode(F.array(F.concat_ws(" ", at(0), at(1), at(2)), F.concat_ws(", ", at(3), at(4)), at(1))).alias("alias"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("code"))
+    drawn = lambda w: F.when(F.size(w) >= 5, F.array(F.concat_ws(" ", w[0], w[1], w[2]), F.concat_ws(", ", w[3], w[4]), w[1]))
+    terms = d.where("doc_id % 10 = 0").select(F.explode(T.let(w, drawn)).alias("alias"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("code"))
     return E.match_terms(d.select(F.col("doc_id").alias("n"), "text"), terms)
 
 

@@ -44,6 +44,17 @@ def test_terms_are_joined_by_words(spark):
     assert E.match_terms(texts.limit(0), terms).count() == E.match_terms(texts, terms.limit(0)).count() == 0
 
 
+def test_a_word_of_many_terms_is_no_hot_key(spark, monkeypatch):
+    """Runs meet terms as wholes: a row for each run, however many terms share its words; also where the index is not broadcast."""
+    texts = spark.createDataFrame([(1, "шум " * 300 + "шум 7")], "n int, text string")
+    terms = spark.createDataFrame([(f"шум {i}", f"c{i}") for i in range(1000)], "alias string, code string")
+    for most in (E.INDEXED, 0):
+        monkeypatch.setattr(E, "INDEXED", most)
+        assert [tuple(r) for r in E.match_terms(texts, terms).collect()] == [(1, "c7")]
+    joined = E.placed_runs(texts, [2]).join(E.term_index(terms).drop("size"), "core")
+    assert joined.count() == 1
+
+
 MACHINES = [("экскаватор", "Экскаватор"), ("cat", "Экскаватор"), ("камаз", "Автосамосвал"), ("самосвал", "Автосамосвал"), ("б-10", "Бульдозер")]
 SUBSTANCES = [("азота диоксид", "0301", "Азота диоксид"), ("сажа", "0328", "Сажа")]
 
