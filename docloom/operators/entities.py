@@ -21,8 +21,8 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 ROOM = 1 << 12
 
 
-#: Rows of the index that are broadcast at most; a larger one is joined by shuffling the texts' runs of words.
-INDEXED = 1_000_000
+#: Rows of the index that are broadcast at most; a larger one is joined by shuffling the texts' runs of words. Rows of one whose first words are looked for first.
+INDEXED, FEW = 1_000_000, 1_000
 
 
 def term_index(terms: DataFrame) -> DataFrame:
@@ -36,14 +36,15 @@ def term_index(terms: DataFrame) -> DataFrame:
     return cut.select(core.alias("core"), "size", "code", "t_gap", "t_after")
 
 
-def placed_runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
+def placed_runs(texts: DataFrame, sizes: list[int], first: list[str] | None = None) -> DataFrame:
     """n, pos, size, core, gap, after, left of texts (n, text): each run of so many words in lower case with the separators between them, those
-    before and behind it, and how many words follow."""
+    before and behind it, and how many words follow; with ``first``, of runs that begin with one of these words."""
     low = F.lower(T.text("text"))
     found = texts.select("n", F.regexp_extract_all(low, F.lit(rf"{T.WORD}+"), 0).alias("w"), F.split(low, rf"{T.WORD}+", -1).alias("g")).where(F.size("w") > 0)
     ahead = lambda c, k: F.slice(c, k + 1, F.size("w"))
     zipped = F.arrays_zip(*[x for k in range(max(sizes)) for x in (ahead("g", k).alias(f"g{k}"), ahead("w", k).alias(f"w{k}"))], ahead("g", max(sizes)).alias(f"g{max(sizes)}"))
     rows = found.select("n", F.size("w").alias("m"), F.posexplode(zipped).alias("pos", "x"))
+    rows = rows if first is None else rows.where(F.col("x.w0").isin(first))
     run = lambda size: F.concat(*[F.col(f"x.{c}{k}") for k in range(size) for c in ("g", "w")][1:])
     each = [F.when(F.col("pos") + size <= F.col("m"), F.struct(F.lit(size).alias("size"), run(size).alias("core"), F.col(f"x.g{size}").alias("after"))) for size in sizes]
     out = rows.select("n", "pos", "m", F.col("x.g0").alias("gap"), F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL")
@@ -61,8 +62,10 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """n, alias, code, begin, end of all terms (alias, code) that stand in texts (n, text) as whole words; begin and end are in order of the text."""
     index = saved(term_index(terms), "terms")
     held = index.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each number of words in a term
-    runs = placed_runs(texts, sorted(r["size"] for r in held) or [1])
-    dictionary = small(index.drop("size"), sum(r.n for r in held), INDEXED)
+    total = sum(r.n for r in held)
+    first = [r.w for r in index.select(F.regexp_extract("core", rf"^{T.WORD}+", 0).alias("w")).distinct().collect()] if total <= FEW else None
+    runs = placed_runs(texts, sorted(r["size"] for r in held) or [1], first)
+    dictionary = small(index.drop("size"), total, INDEXED)
     place = lambda c: c.cast("long") * ROOM
     begin, end = place(F.col("pos")) - F.length("t_gap"), place(F.col("pos") + F.col("size") - 1) + F.length("t_after")
     return runs.join(dictionary, "core").where(_fits()).select("n", F.concat("t_gap", "core", "t_after").alias("alias"), "code", begin.alias("begin"), end.alias("end"))
