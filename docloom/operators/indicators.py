@@ -7,14 +7,16 @@ window over the places of each text.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .tables import saved
 
-#: Characters behind a mention within which its value ends.
-REACH = 160
+#: Characters behind a mention within which its value ends; portions in which a value's files are gathered.
+REACH, PORTIONS = 160, 64
 
 # Indicators with their unit, the plausible range, the sections that own them (the first most), and how they are mentioned.
 INDICATORS = [
@@ -52,13 +54,24 @@ def value_pattern(unit: str) -> str:
     return _java(rf"{NUMBER}\s*(?:{'|'.join(UNIT_SPELLINGS[unit])})") + edge
 
 
-def places(texts: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """n, kind, name, start, end, found of the matches of patterns (kind, name, pattern) in texts (n, t), in characters from 0.
+def literal(pattern: str) -> str:
+    """The plain letters that every match of a pattern begins with."""
+    if "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    plain = re.match(r"[а-яёa-z ]*", pattern)[0]
+    return plain[:-1] if pattern[len(plain) :][:1] in ("?", "*", "{") and plain else plain
+
+
+def places(texts: DataFrame, patterns: list[tuple[str, str, str, list[str]]]) -> DataFrame:
+    """n, kind, name, start, end, found of the matches of patterns (kind, name, pattern, stems) in texts (n, t), in characters from 0.
+
+    A pattern is looked for in texts that hold one of its stems as it is written.
 
     A text is cut at each pattern's matches; places are running sums of the lengths of matches and of what lies between.
     """
-    # One look finds whether a pattern occurs at all, so that most texts are never cut.
-    cut = [F.when(F.col("t").rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.regexp_extract_all("t", F.lit(p), 0).alias("found"), F.split("t", p, -1).alias("between"))) for kind, name, p in patterns]
+    # One look finds whether a pattern occurs at all, so that most texts are never cut; one for a stem is cheaper still.
+    holds = lambda stems: reduce(lambda a, b: a | b, [F.contains("t", F.lit(x)) for x in dict.fromkeys(stems)])
+    cut = [F.when(holds(stems) & F.col("t").rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.regexp_extract_all("t", F.lit(p), 0).alias("found"), F.split("t", p, -1).alias("between"))) for kind, name, p, stems in patterns]
     each = texts.select("n", F.explode(F.array_compact(F.array(*cut))).alias("x")).select("n", "x.*")
     rows = each.select("n", "kind", "name", F.posexplode(F.arrays_zip("found", F.slice("between", 1, F.size("found")).alias("before"))).alias("i", "x"))
     to_here = Window.partitionBy("n", "kind", "name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -70,22 +83,25 @@ def scan(texts: DataFrame, indicators: list[tuple] = INDICATORS) -> DataFrame:
     """n, key, unit, value, start of every mention of an indicator in texts (n, text; one row for each n) that a plausible value follows; values as numbers without blanks, with a point."""
     low = texts.select("n", F.lower(T.text("text")).alias("t"))
     units = sorted({i[1] for i in indicators})
-    mentions = [("mention", f"{key}|{k}", _java(m)) for key, _, _, _, _, spellings in indicators for k, m in enumerate(spellings)]
-    values = [("value", unit, value_pattern(unit)) for unit in units]
-    found = places(low, [*mentions, *values, ("stop", "", SENTENCE_END)])
+    # Texts are in lower case, and so are mentions.
+    mentions = [("mention", f"{key}|{k}", m.replace(r"\w", T.WORD), [literal(m)]) for key, _, _, _, _, spellings in indicators for k, m in enumerate(spellings)]
+    stems = lambda unit: [literal(m) for _, u, _, _, _, spellings in indicators if unit in (u, "") for m in spellings]
+    values = [("value", unit, value_pattern(unit), stems(unit)) for unit in units]
+    found = saved(places(low, [*mentions, *values, ("stop", "", SENTENCE_END, stems(""))]), "places")
     by_key = F.create_map(*[F.lit(x) for i in indicators for x in (i[0], i[1])])
     key = F.split_part("name", F.lit("|"), F.lit(1))
     found = found.select("*", F.when(F.col("kind") == "mention", F.element_at(by_key, key)).otherwise(F.col("name")).alias("unit"))
-    # A stop goes with every unit. A value is ahead of a mention that ends before its last digit: of a number that a mention's last word runs into, the rest is read.
-    stops = found.where("kind = 'stop'").select("n", "kind", "name", "start", "end", "found", F.explode(F.array(*map(F.lit, units))).alias("unit"))
-    needed = found.where("kind = 'mention'").select("n", "unit").distinct()
-    rows = found.where("kind <> 'stop'").unionByName(stops).join(needed, ["n", "unit"], "left_semi")
+    # A value is ahead of a mention that ends before its last digit: of a number that a mention's last word runs into, the rest is read.
+    mentioned, stops = found.where("kind = 'mention'"), found.where("kind = 'stop'").select("n", "kind", "start", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("long").alias("end"))
+    # What is ahead is kept while rows are read backwards, each looked at once.
+    ahead = lambda *by: Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    rank = (F.col("kind") != "mention").cast("int").alias("rank")
+    ended = mentioned.select("n", "kind", "start", "name", "unit", "end").unionByName(stops).select("*", F.coalesce("end", "start").alias("at"), rank)
+    stopped = ended.select("n", "kind", "name", "unit", "start", "end", F.last(F.when(F.col("kind") == "stop", F.struct("start")), ignorenulls=True).over(ahead("n")).alias("stop")).where("kind = 'mention'")
     last_digit = F.col("start") + F.length(F.rtrim(F.regexp_extract("found", NUMBER, 0))) - 1
-    at = F.when(F.col("kind") == "mention", F.col("end")).when(F.col("kind") == "value", last_digit).otherwise(F.col("start"))
-    ahead = Window.partitionBy("n", "unit").orderBy("at", "rank").rowsBetween(1, Window.unboundedFollowing)
-    next_of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct("start", "end", "found")), ignorenulls=True).over(ahead)
-    placed = rows.select("*", at.alias("at"), (F.col("kind") != "mention").cast("int").alias("rank"))
-    seen = placed.select("n", "kind", "name", "unit", "start", "end", next_of("value").alias("value"), next_of("stop").alias("stop")).where("kind = 'mention'")
+    read = found.where("kind = 'value'").select("n", "kind", "unit", last_digit.alias("at"), rank, F.struct("start", "end", "found").alias("own"))
+    placed = stopped.select("*", F.col("end").alias("at"), rank).unionByName(read, allowMissingColumns=True)
+    seen = placed.select("n", "kind", "name", "unit", "start", "end", "stop", F.last("own", ignorenulls=True).over(ahead("n", "unit")).alias("value")).where("kind = 'mention'")
     inside = (F.col("value.end") <= F.col("end") + REACH) & (F.col("stop").isNull() | (F.col("stop.start") >= F.col("value.end")) | (F.col("stop.start") >= F.col("end") + REACH - 1))
     rest = F.expr("substring(value.found, greatest(1, CAST(end - value.start + 1 AS INT)))")
     number = F.rtrim(F.replace(F.regexp_replace(F.regexp_extract(rest, NUMBER, 0), "[  ]", ""), F.lit(","), F.lit(".")), F.lit("."))
@@ -106,7 +122,8 @@ def registry(found: DataFrame, prefer: DataFrame, settled: DataFrame, sources: i
     row for each key at most: it holds against whatever is found, and ends the conflict.  Else the best variant is the value: by the best owner
     among its sections, then by count, then by value.
     """
-    by_section = found.groupBy("key", "value", "section").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("file")), 1, sources).alias("files"))
+    # Files of one value and section are gathered in portions, so that no set holds all of them.
+    by_section = found.groupBy("key", "value", "section", F.pmod(F.xxhash64("file"), F.lit(PORTIONS))).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("file")), 1, sources).alias("files"))
     ranked = by_section.join(prefer, ["key", "section"], "left")
     v = ranked.groupBy("key", "value").agg(F.sum("n").alias("n"), F.min(F.coalesce("ord", F.lit(99))).alias("best"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))), 1, sources).alias("files"))
     order = F.struct(F.col("best"), (-F.col("n")).alias("minus"), "value")

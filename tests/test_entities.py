@@ -132,3 +132,18 @@ def test_decisions_as_of(spark):
     log = spark.createDataFrame([("a", "1", "found", 1, 1), ("a", "2", "chosen", 2, 2), ("a", "3", "found", 3, 3), ("a", "4", "manual", 4, 4), ("a", None, "manual", 6, 5), ("b", "9", "manual", 5, 6), ("b", "8", "manual", 5, 7), ("c", None, "found", 1, 8)], "key string, value string, source string, ts int, seq int")
     at = lambda t: {r.key: (r.value, r.source) for r in I.settled_as_of(log, F.lit(t) if t else None).collect()}
     assert at(1) == {"a": ("1", "found")} and at(3) == {"a": ("2", "chosen")} and at(5) == {"a": ("4", "manual"), "b": ("8", "manual")} and at(None) == {"a": ("2", "chosen"), "b": ("8", "manual")}
+
+
+def test_what_is_ahead_is_found_in_one_look_at_each_row(spark):
+    texts = [(1, "Уровень шума; уровень шума 45 дБА. " * 300), (2, "Водоотведение, водоотведение 3 м3/сут. Уровень шума: нет. 50 дБА")]
+    found = I.scan(spark.createDataFrame(texts, "n int, text string"))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = sorted((r.n, r.key, r.start, r.value) for r in found.collect())
+    assert got == [(1, "noise", 35 * i + 14, "45") for i in range(300)] + [(2, "water_drain", 0, "3"), (2, "water_drain", 15, "3")]
+
+
+def test_files_of_a_value_are_gathered_in_portions(spark):
+    found = spark.createDataFrame([("noise", "55", f"s{i % 2}", f"f{i:04}") for i in range(600)] * 2, "key string, value string, section string, file string")
+    got = I.registry(found, I.owners(spark), spark.createDataFrame([], "key string, value string, source string"))
+    (row,) = got.collect()
+    assert (row.value, row.n_variants, row.files) == ("55", 1, "|".join(f"f{i:04}" for i in range(8)))
