@@ -53,10 +53,9 @@ def merged(leaves: DataFrame, join_lists: bool = False) -> DataFrame:
     # What each layer says about a path, and about every path that leads to it.
     on_the_way = leaves.select("name", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.struct(F.slice("path", 1, n).alias("path"), ((n < F.size("path")) | (F.col("value") == "{}")).alias("through")))).alias("x"))
     said = on_the_way.select("name", "x.path", "ord", "x.through")
-    last_value = said.where("NOT through").groupBy("name", "path").agg(F.max("ord").alias("value_ord"))
-    last_inside = said.where("through").groupBy("name", "path").agg(F.max("ord").alias("inside_ord"))
+    last = said.groupBy("name", F.col("path").alias("way")).agg(F.max(F.when(~F.col("through"), F.col("ord"))).alias("value_ord"), F.max(F.when(F.col("through"), F.col("ord"))).alias("inside_ord"))
     ways = leaves.select("name", "ord", "path", "value", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("way"))
-    known = ways.join(last_value.withColumnRenamed("path", "way"), ["name", "way"], "left").join(last_inside.withColumnRenamed("path", "way"), ["name", "way"], "left")
+    known = ways.join(last, ["name", "way"], "left")
     own = F.size("way") == F.size("path")
     later_value = F.coalesce(F.col("value_ord") > F.col("ord"), F.lit(False))
     later_inside = own & F.coalesce(F.col("inside_ord") > F.col("ord"), F.lit(False)) & (F.col("value") != "{}")
