@@ -102,3 +102,15 @@ def test_bytes_and_markup():
     assert A.decode_bytes("Ёж".encode("cp1251")) == "Ёж" and A.decode_bytes("Ёж".encode()) == "Ёж" and A.decode_bytes(None) is None
     assert A.xml_text(b'<a k="v">t<b/>u</a>').split("\n") == ["v", "t", "u"] and A.xml_text(b"<a") is None
     assert A.html_text("<p>a<script>x</script> b</p>") == "a b"
+
+
+def test_hashes_of_runs_are_those_of_distinct_runs_within_a_text():
+    import pyarrow as pa
+
+    from docloom.functions.arrow import run_hashes
+
+    lists = [["a", "b", "c", "a", "b", "c"], ["b", "c"], None, [], ["c", "a", "b"], ["ab", "c", ""]]
+    got = [x.tolist() for x in run_hashes(pa.array([["z"], *lists], pa.list_(pa.string())).slice(1), 3)]
+    runs = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (x or [] for x in lists)]
+    assert [*map(len, got)] == [*map(len, runs)] and all(x == sorted(x) for x in got)
+    assert set(got[4]) < set(got[0]) and not set(got[5]) & set(got[0])

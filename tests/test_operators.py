@@ -173,3 +173,24 @@ def test_timeline_of_files_of_one_name_whatever_their_order(spark):
     for some in (rows, rows[::-1]):
         got = D.timeline(spark.createDataFrame(some, "section string, file string, date string, label string").coalesce(1))
         assert [r.label for r in got.orderBy("place").collect()] == ["исходная", "исходная", "актуальная"]
+
+
+def test_similar_contents_whatever_is_common(spark, monkeypatch):
+    """Which elements are held to be common changes the order of search and never the pairs; nor does rounding lose one."""
+    docs = [(i, "notice that all of them begin with one two three " + " ".join(f"w{i // 3}x{j}" for j in range(40)) + f" end{i % 3}") for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for asked, common in ((1, 100_000), (1, 3), (10**9, 1)):
+        monkeypatch.setattr(D, "ASKED", asked)
+        monkeypatch.setattr(D, "COMMON", common)
+        found.append({(r.a, r.b) for r in D.similar_contents(table).collect()})
+    assert found[0] == found[1] == found[2] == {(a, b) for a, _ in docs for b, _ in docs if a < b and a // 3 == b // 3}
+
+
+def test_similar_contents_asks_for_few_elements():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[1, 2, 3, 4, 5, 6, 7, 8, 9, 10], []], pa.list_(pa.int64()))], ["id", "s"])
+    common = [type("R", (), {"key": k, "holders": h}) for k, h in ((1, 9), (3, 2))]
+    (out,) = D._rarest(common, 0.85)([batch])
+    assert out.to_pylist() == [{"id": 1, "n": 10, "key": 2}, {"id": 1, "n": 10, "key": 4}]
