@@ -66,3 +66,24 @@ def test_recall_on_the_given_documents(spark):
     found = {(r.a_id, r.b_id) for r in QUERIES["signature_pairs"](spark, SF).collect()}
     found |= {(b, a) for a, b in found}
     assert sum(p in found for p in exact) >= 0.9 * len(exact)
+
+
+def test_every_document_of_a_content_is_named(spark, tmp_path):
+    from docloom.plans import QUERIES
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long), (3, long), (9, long), (4, long + " more"), (1, None), (2, ""), (8, "short one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a_id, r.b_id, r.a_copies, r.b_copies) for r in QUERIES["signature_pairs"](spark, str(tmp_path)).collect()}
+    assert {tuple(sorted(x[:2])) for x in got} == {(3, 4), (3, 5), (3, 9), (1, 2)}
+    assert (3, 5, 3, 3) in got and (1, 2, 2, 2) in got
+
+
+def test_planes_never_lose_a_pair(spark):
+    """Two MinHashes with as many places apart as may be, and one more."""
+    import hashlib
+
+    base = [int.from_bytes(hashlib.sha256(str(i).encode()).digest()[:7]) for i in range(64)]
+    apart = lambda d: [~x & (2**56 - 1) if i % 4 == 0 and i // 4 < d else x for i, x in enumerate(base)]
+    store = spark.createDataFrame([("a", None, base), ("b", None, apart(16)), ("c", None, apart(16)[:1] + base[1:])], "content string, simhash long, minhash array<long>")
+    assert {(r.a, r.b): r.similarity for r in S.pairs(store, 0.75).collect()} == {("a", "b"): 0.75, ("a", "c"): round(63 / 64, 6), ("b", "c"): round(49 / 64, 6)}
