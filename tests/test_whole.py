@@ -4,6 +4,8 @@ import hashlib
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from docloom.operators import memory as M, search as R
 from docloom.plans import QUERIES
 
@@ -92,3 +94,26 @@ def test_memory_by_vector_beyond_the_own_project(spark):
     memory = spark.createDataFrame(rows, "id long, project string, remark string, retracted boolean, vector array<float>")
     asked = spark.createDataFrame([(7000, "own", "вопрос", [1.0, 0.0])], "query_id long, project string, remark string, vector array<float>")
     assert [(r.id, r.rank) for r in M.similar_by_vector(asked, memory).orderBy("rank").collect()] == [(7000, 1), (7001, 2)]
+
+
+def test_verbatim_and_references_are_found_wherever_they_stand(spark):
+    from docloom.functions import text as T
+    from docloom.operators import evaluation as E
+
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x" + " ".join(words[3:])), (3, " ".join(words[:9])), (4, None), (5, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words[3:13])), (2, " ".join(words[:8])), (3, " ".join(words[22:])), (4, "w1 w2"), (5, "w5 w6 w7 w8 w9 w10 w12 w13 w14")], "query_id long, text string")
+    assert {tuple(r) for r in E.verbatim(asked, docs).collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (4, 1), (4, 3)}
+    names = ["СП 1.2", "гост р 51", "СанПиН 2.1", "ГН 2", "му 3", "МР 4", "рд 52", "ВСН 1", "ОНД-86", "Приказ минприроды россии № 5", "постановление правительства РФ 7", "пп рф 8"]
+    plain = lambda pattern: F.regexp_extract_all(F.lit(" и ".join(names)), F.lit(pattern), 0)
+    old, new = spark.range(1).select(plain(T.REFERENCE), plain(T.REFERENCE_QUICK)).first()
+    assert old == new and len(new) == len(names)
+
+
+def test_sources_are_not_gathered_by_number(spark, tmp_path):
+    """Answers of one remainder share a source; neither is dealt out by it."""
+    from docloom.plans import QUERIES
+
+    spark.createDataFrame([(i, f"{i} т и 5 м", "en", "web", 9) for i in range(-220, 200, 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["consistency_compare"](spark, str(tmp_path))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
