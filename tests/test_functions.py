@@ -114,3 +114,25 @@ def test_hashes_of_runs_are_those_of_distinct_runs_within_a_text():
     runs = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (x or [] for x in lists)]
     assert [*map(len, got)] == [*map(len, runs)] and all(x == sorted(x) for x in got)
     assert set(got[4]) < set(got[0]) and not set(got[5]) & set(got[0])
+
+
+def test_functions_take_large_batches_in_parts(spark, monkeypatch):
+    """One value for each row, in order, nulls too, with few rows in Python at once."""
+    from pyspark.sql import functions as F
+
+    from docloom.functions import arrow as A
+
+    most = max(len(x) for x in _parts(A, 1000))
+    assert most <= A.ROWS
+    rows = spark.range(0, 1050, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("1. Замечание номер "), "id")).alias("t"))
+    got = rows.select("id", A.split_numbered_udf()("t").alias("r"), A.chunk_text_udf()("t").alias("c"), A.simhash_udf()("t").alias("h")).collect()
+    for r in got:
+        text = None if r.id % 7 == 0 else f"1. Замечание номер {r.id}"
+        assert [tuple(x) for x in r.r] == A.split_numbered(text) and r.c == A.chunk_text(text) and r.h == A.simhash(text)
+    assert len(got) == 1050
+
+
+def _parts(A, n):
+    import pyarrow as pa
+
+    return A.chunk_text_udf().func(iter([pa.array(["text"] * n)]))
