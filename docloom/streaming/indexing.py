@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text as T
-from ..operators.tables import folder_has
+from ..operators.search import SMALL, small
+from ..operators.tables import folder_has, saved
 
 ENTRY = "file string, status string, raw_sha string, fingerprint string, chunks long, reason string"
 IN_FLIGHT, FINAL = 0, 1
@@ -36,6 +37,11 @@ def pending(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(settled, ["file", "raw_sha"], "left_anti")
 
 
+def _only(wide: DataFrame, names: DataFrame) -> DataFrame:
+    """Wide rows of these files: names are broadcast if they are few, else wide rows are shuffled once, and never sorted."""
+    return wide.join(F.broadcast(names) if names.count() <= SMALL else names.hint("shuffle_hash"), "file", "left_semi")
+
+
 def ingest(batch: DataFrame, epoch: int, folder: str, parse: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> None:
     """Index one batch of files (file, content as bytes; the last row of a file's name counts only by its bytes' order).
 
@@ -45,8 +51,14 @@ def ingest(batch: DataFrame, epoch: int, folder: str, parse: Callable[[DataFrame
     """
     spark = batch.sparkSession
     known = manifest(spark, folder, before=epoch)
-    named = batch.groupBy("file").agg(F.max("content").alias("content")).withColumn("raw_sha", F.sha2("content", 256))
-    todo = pending(named, known)
+    # Names and sums are few beside bytes: what is to be done is settled on narrow rows, and bytes and texts are asked for once each.
+    counted = saved(batch.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.max(F.sha2("content", 256)).alias("raw_sha")), "names")
+    contents, named, several = batch.select("file", "content"), counted.where("rows = 1").select("file", "raw_sha"), counted.where("rows > 1").select("file")
+    if not several.isEmpty():
+        last = contents.join(small(several), "file", "left_semi").groupBy("file").agg(F.max("content").alias("content"))
+        contents = contents.join(small(several), "file", "left_anti").unionByName(last)
+        named = named.unionByName(last.select("file", F.sha2("content", 256).alias("raw_sha")))
+    todo = saved(pending(named, known), "todo")
     entry = lambda df, status, **own: df.select("file", F.lit(status).alias("status"), *(own.get(c, F.lit(None)).cast(k).alias(c) for c, k in (("raw_sha", "string"), ("fingerprint", "string"), ("chunks", "long"), ("reason", "string"))))
     write = lambda df, stage: df.write.mode("overwrite").parquet(f"{folder}/manifest/batch={epoch}/stage={stage}")
     write(entry(todo, "running", raw_sha=F.col("raw_sha")), IN_FLIGHT)
@@ -55,18 +67,20 @@ def ingest(batch: DataFrame, epoch: int, folder: str, parse: Callable[[DataFrame
     own_names = todo.select("file")
     raw_owners = done.join(own_names, "file", "left_anti").groupBy("raw_sha").agg(F.min("file").alias("owner"))
     first_of = lambda key: F.min("file").over(Window.partitionBy(key))
-    # Names are few beside bytes: who owns what is settled on narrow rows.
-    owned = todo.select("file", "raw_sha").join(raw_owners, "raw_sha", "left").withColumn("first", F.coalesce("owner", first_of("raw_sha")))
+    owned = todo.join(raw_owners, "raw_sha", "left").withColumn("first", F.coalesce("owner", first_of("raw_sha")))
+    owned = saved(owned.select("file", "raw_sha", "first"), "owned")
     copies = owned.where("first <> file")
-    texts = parse(todo.join(copies.select("file"), "file", "left_anti").select("file", "content")).join(owned.select("file", "raw_sha"), "file")
     # Parsing is the dear step: it is done once, and what follows reads the batch's own folder.
+    texts = parse(_only(contents, owned.where("first = file").select("file")))
     texts.withColumn("fingerprint", T.fingerprint("text")).write.mode("overwrite").parquet(f"{folder}/texts/batch={epoch}")
     texts = spark.read.parquet(f"{folder}/texts/batch={epoch}")
-    failed, good = texts.where("error IS NOT NULL"), texts.where("error IS NULL")
+    parsed = texts.select("file", "error", "fingerprint").join(owned.select("file", "raw_sha"), "file")
+    failed, good = parsed.where("error IS NOT NULL"), parsed.where("error IS NULL")
     seen = done.join(own_names, "file", "left_anti").select("fingerprint").distinct().withColumn("held", F.lit(True))
     marked = good.join(seen, "fingerprint", "left").withColumn("first", first_of("fingerprint"))
-    repeated = F.coalesce("held", F.lit(False)) | (F.col("first") != F.col("file"))
-    cut(marked.where(~repeated).select("file", "text")).write.mode("overwrite").parquet(f"{folder}/chunks/batch={epoch}")
+    marked = saved(marked.withColumn("repeated", F.coalesce("held", F.lit(False)) | (F.col("first") != F.col("file"))), "marked")
+    repeated = F.col("repeated")
+    cut(_only(texts.where("error IS NULL").select("file", "text"), marked.where(~repeated).select("file"))).write.mode("overwrite").parquet(f"{folder}/chunks/batch={epoch}")
     counts = spark.read.parquet(f"{folder}/chunks/batch={epoch}").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     indexed = marked.where(~repeated).join(counts, "file", "left")
     sums = {"raw_sha": F.col("raw_sha"), "fingerprint": F.col("fingerprint")}

@@ -129,3 +129,15 @@ def test_progress_is_written(spark, tmp_path, events):
     rows = spark.read.schema(X.ProgressLog.SCHEMA).json(log).collect()
     assert sum(r["rows"] for r in rows if r.event == "progress" and r["rows"]) == 40
     assert {r.event for r in rows} == {"started", "progress", "ended"} and not any(r.error for r in rows)
+
+
+def test_names_that_occur_several_times_and_many_names(spark, tmp_path, monkeypatch):
+    """Of rows of one name the greatest bytes count, in either way of looking up names; wide rows are shuffled once at most."""
+    for limit in (200_000, 0):
+        monkeypatch.setattr(X, "SMALL", limit)
+        folder = f"file://{tmp_path}/index-{limit}"
+        X.ingest(files(spark, [("a", "one"), ("a", "two"), ("b", "x\ny"), ("b", "x\ny"), ("c", "two"), ("d", "")]), 0, folder, parse, cut)
+        assert state(spark, folder) == {"a": ("done", 1, None), "b": ("done", 2, None), "c": ("skipped", 0, "дубликат файла (a)"), "d": ("error", 0, "нет текста")}
+        assert held(spark, folder) == [("a", 0, "two"), ("b", 0, "x"), ("b", 1, "y")]
+    few = X._only(files(spark, [("a", "one"), ("b", "two")]), spark.createDataFrame([("a",)], "file string"))
+    assert [r.file for r in few.collect()] == ["a"] and "ShuffledHashJoin" in few._jdf.queryExecution().executedPlan().toString()
