@@ -115,6 +115,12 @@ _GRAMS = pa.list_(pa.struct([("gram", pa.int32()), ("at", pa.int32())]))
 _GRAMS_SQL = "array<struct<gram: int, at: int>>"
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join in which both sides are shuffled. Spark sizes a table by its compressed file, and as if an exploded list had one item, so that it
+    would broadcast many times what the driver holds."""
+    return rows.hint("merge")
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """Pairs (word, n, near, near_n) of words of at least four code points in ``vocabulary`` (word, n; one row a word) that one edit makes equal, in both directions."""
     gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2))))).alias("gram")
@@ -137,7 +143,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     probe = probe.select("r", "rn", "r_last", (F.length("r") + F.col("move.size")).alias("size"), "g.gram", (F.col("g.at") + F.col("move.at")).alias("at"))
     keys = ["gram", "size", "at"]
     same_key = [F.col(f"i.{k}") == F.col(f"p.{k}") for k in keys]
-    found = index.alias("i").join(probe.alias("p"), [*same_key, F.col("s_last") <= F.col("r_last"), F.col("s") != F.col("r"), F.levenshtein("s", "r", 1) == 1])
+    found = index.alias("i").join(shuffled(probe).alias("p"), [*same_key, F.col("s_last") <= F.col("r_last"), F.col("s") != F.col("r"), F.levenshtein("s", "r", 1) == 1])
     pairs = found.select("s", "sn", "r", "rn").distinct()
     both = pairs.select(F.col("s").alias("word"), F.col("sn").alias("n"), F.col("r").alias("near"), F.col("rn").alias("near_n"))
     return both.unionByName(both.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))).distinct()
@@ -148,16 +154,16 @@ def variants(vocabulary: DataFrame, times: int = 5) -> DataFrame:
     vocabulary = save(vocabulary.select("word", "n"), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("form"))).alias("best")
     near = near_words(vocabulary).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    held = vocabulary.join(near, "word", "left")
+    held = vocabulary.join(shuffled(near), "word", "left")
     enough = -F.col("best.minus") >= times * F.col("n")
     forms = save(held.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.form")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")), "forms")
     forget(vocabulary)
     roots = save(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("onward"))
-        if roots.join(onward, "root", "left_semi").isEmpty():
+        if roots.join(shuffled(onward), "root", "left_semi").isEmpty():
             break
-        further = save(roots.join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root")), "roots")
+        further = save(roots.join(shuffled(onward), "root", "left").select("word", F.coalesce("onward", "root").alias("root")), "roots")
         forget(roots)
         roots = further
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(shuffled(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

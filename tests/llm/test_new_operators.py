@@ -216,6 +216,18 @@ def test_words_of_odd_rows(spark, none):
     assert spelling.variants(spelling.words(none)).count() == 0
 
 
+def test_spelling_broadcasts_no_words(spark, monkeypatch):
+    """Tables as small as these in their files may be many times the driver's memory once they are exploded."""
+    plans, save = [], spelling.save
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "save", lambda df, name: (plan(df), save(df, name))[1])
+    rows = [("abcdef", 1), ("abcdeg", 5), ("abcdgg", 25), ("abcggg", 125), ("ghijkl", 3)]
+    found = spelling.variants(spark.createDataFrame(rows, "word string, n long"))
+    plan(found)
+    assert {r.word: r.root for r in found.collect()} == {w: "ghijkl" if w == "ghijkl" else "abcggg" for w, _ in rows}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_ranks_of_huge_components(spark):
     """Finite components of any size are told apart, where 64 bits would make them ties."""
     rows = [(0, [1.0, 0.5]), (1, [1e20, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [1e308, 0.0]), (5, [1e308, 1.0]), (6, [2.0, 0.0]), (7, [float("inf"), 0.0])]
