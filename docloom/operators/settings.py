@@ -41,7 +41,7 @@ def flattened(layers: DataFrame) -> DataFrame:
 def merged(leaves: DataFrame, join_lists: bool = False) -> DataFrame:
     """name, path, value of each setting that holds: of the last layer (ord) that says anything about its path.
 
-    A value gives way to a later one of the same path, of a path that leads to it (but for an empty object there), or of one that it leads to.
+    Of values that one layer gives one path, the greatest is taken. A value gives way to a later one of the same path, of a path that leads to it (but for an empty object there), or of one that it leads to.
     With ``join_lists``, lists of one path are put together in order of their layers instead.
     """
     if join_lists:
@@ -50,12 +50,16 @@ def merged(leaves: DataFrame, join_lists: bool = False) -> DataFrame:
         # Of several layers' lists, the last one's place holds.
         put = lists.groupBy("name", "path").agg(F.max("ord").alias("ord"), F.concat(F.lit("["), inside, F.lit("]")).alias("value")).select("name", "ord", "path", "value")
         leaves = leaves.where(~F.col("value").startswith("[")).unionByName(put)
+    # Of the layers that give a path a value, or that give it an empty object, the last ones say all: a row for each path, however many layers.
+    leaves = leaves.groupBy("name", "path", (F.col("value") == "{}").alias("empty")).agg(F.max(F.struct("ord", "value")).alias("last")).select("name", "last.ord", "path", "last.value")
+    leaves = saved(leaves, "settings")
     # What each layer says about a path, and about every path that leads to it.
     on_the_way = leaves.select("name", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.struct(F.slice("path", 1, n).alias("path"), ((n < F.size("path")) | (F.col("value") == "{}")).alias("through")))).alias("x"))
     said = on_the_way.select("name", "x.path", "ord", "x.through")
     last = said.groupBy("name", F.col("path").alias("way")).agg(F.max(F.when(~F.col("through"), F.col("ord"))).alias("value_ord"), F.max(F.when(F.col("through"), F.col("ord"))).alias("inside_ord"))
     ways = leaves.select("name", "ord", "path", "value", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("way"))
-    known = ways.join(last, ["name", "way"], "left")
+    # Both sides are shuffled: Spark sizes paths that are exploded as one each, and might broadcast many.
+    known = ways.join(last.hint("merge"), ["name", "way"], "left")
     own = F.size("way") == F.size("path")
     later_value = F.coalesce(F.col("value_ord") > F.col("ord"), F.lit(False))
     later_inside = own & F.coalesce(F.col("inside_ord") > F.col("ord"), F.lit(False)) & (F.col("value") != "{}")
@@ -64,12 +68,12 @@ def merged(leaves: DataFrame, join_lists: bool = False) -> DataFrame:
     # An empty object is no more than a sign that there is one: it goes if anything is inside.
     inside_of = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("path")
     filled = left.where(F.size("path") > 1).select("name", inside_of).distinct().withColumn("held", F.lit(True))
-    return left.join(filled, ["name", "path"], "left").where((F.col("value") != "{}") | F.col("held").isNull()).select("name", "path", "value").distinct()
+    return left.join(filled.hint("merge"), ["name", "path"], "left").where((F.col("value") != "{}") | F.col("held").isNull()).select("name", "path", "value").distinct()
 
 
 def rebuilt(settings: DataFrame) -> DataFrame:
     """name, json of settings (name, path, value): names in order, objects put together from the deepest up."""
-    level = settings
+    level = settings = saved(settings, "settings")
     deepest = settings.agg(F.max(F.size("path"))).first()[0] or 0
     field = F.to_json(F.struct(F.element_at("path", -1).alias("k")))
     quoted = F.expr("substring(field, 6, length(field) - 6)")  # {"k":"name"} without all but the name

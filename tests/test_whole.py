@@ -117,3 +117,16 @@ def test_sources_are_not_gathered_by_number(spark, tmp_path):
     spark.createDataFrame([(i, f"{i} т и 5 м", "en", "web", 9) for i in range(-220, 200, 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES["consistency_compare"](spark, str(tmp_path))
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_of_every_event(spark, tmp_path):
+    from docloom.plans import SQL
+    from tests.oracle import assert_same, connection
+
+    rows = [(1, 7, "click", '{"k": 1}'), (2, 7, "view", '{"k": 2}'), (3, 7, "click", '{"k": 3}'), (4, 7, "click", None), (5, 7, "view", None), (6, 7, None, '{"k": 9}'), (7, 8, "click", '{"k": 4}'), (8, 9, "click", None), (9, 10, None, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES["settings_merged"](spark, str(tmp_path))
+    assert assert_same(out, SQL["settings_merged"], connection(str(tmp_path))) == 4
+    found = {r.name: r.json for r in out.collect()}
+    assert found["user7"] == '{"click":{"k":3},"in":{"click":[4],"view":[0]},"last":6,"view":{"k":2}}' and found["user8"] == '{"click":{"k":4},"in":{"click":[2]},"last":7}'
+    assert found["user9"] == '{"in":{"click":[3]},"last":8}' and found["user10"] == '{"last":9}'
